@@ -72,6 +72,32 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc32_of(column), F.lit(3)) == 1, F.lit(False))
 
 
+#: Bits of a filter over digests: 2**26 bits, so at most 8 MB are broadcast whatever the data's size.
+FILTER_BITS = 1 << 26
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)) + 1
+
+
+def mark_passing(rows: DataFrame, digests: DataFrame, name: str) -> DataFrame:
+    """Adds a flag: a fixed-size bitmap over ``digests`` lets the row's ``digest`` through. Every member passes, and few others."""
+    bitmap = digests.groupBy(F.bitmap_bucket_number(_slot()).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(_slot())).alias("_bits")
+    )
+    at = F.bitmap_bit_position(_slot())
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (
+        rows.withColumn("_bucket", F.bitmap_bucket_number(_slot()))
+        .join(F.broadcast(bitmap), "_bucket", "left")
+        .select(*rows.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
+    )
+
+
+def passing(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    return mark_passing(rows, digests, "_passes").where("_passes").drop("_passes")
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

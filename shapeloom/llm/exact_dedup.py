@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialise, scratch_path, table, whole_text
+from .common import delete_path, materialise, passing, scratch_path, table, whole_text
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -78,29 +78,6 @@ class LsmIndex:
         return self.entries().where(F.col("digest") == F.lit(bytearray(digest)))
 
 
-#: Bits of the in-memory filter over hit digests: 2**26 bits, so at most 8 MB are broadcast whatever the data's size.
-FILTER_BITS = 1 << 26
-
-
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
-
-
-def _passing(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows that a fixed-size bitmap over the hit digests lets through: every hit, and few others."""
-    bitmap = hits.groupBy(F.bitmap_bucket_number(_slot(F.col("digest"))).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_slot(F.col("digest")))).alias("bits")
-    )
-    at = F.bitmap_bit_position(_slot(F.col("digest")))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        rows.withColumn("bucket", F.bitmap_bucket_number(_slot(F.col("digest"))))
-        .join(F.broadcast(bitmap), "bucket")
-        .where(F.getbit(byte, (at % 8).cast("int")) == 1)
-        .select(*rows.columns)
-    )
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LsmIndex | None = None) -> DataFrame:
     """id_col, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
@@ -111,7 +88,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index.compact()
     hits = index.entries().where("n > 1")
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), normalised(whole_text(text_col)).alias("body"))
-    suspects = _passing(bodies.withColumn("digest", F.unhex(F.sha2("body", 256))), hits)
+    suspects = passing(bodies.withColumn("digest", F.unhex(F.sha2("body", 256))), hits)
     # Byte verification: a group is what has equal digest and equal bytes. Tasks merge their own copies first, so that a text
     # with very many copies sends one row per task.
     classes = suspects.groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
