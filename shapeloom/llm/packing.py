@@ -129,8 +129,11 @@ def pack_documents(
         histogram[r["length"]] = r["n"]
     goal, rows = lower_bound(histogram, capacity), int(histogram.sum())
     done, closed, turn, total, rounds = [], 0, 0, None, []
+    parts = 0
     while rows:
-        parts = max(1, math.ceil(rows / part_rows))
+        # Fewer partitions each time, so that rests meet; never more than four times ``part_rows`` rows in one.
+        wanted = math.ceil(rows / part_rows)
+        parts = wanted if not parts or wanted < parts else max(math.ceil(wanted / 4), parts // 2, 1)
         packed = materialise(_packed(left, parts, turn, capacity), f"round-{turn}")
         stats = packed.groupBy("part").agg(
             (F.max("bin") + 1).alias("bins"), F.max("bound").alias("bound"), F.count(F.lit(1)).alias("rows"),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, simhash, token_counts, token_store
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_simhash": simhash.op5_simhash,
+    "op7_packing": packing.op7_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_token_store": token_store.op10_token_store,
 }
 ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
