@@ -175,27 +175,21 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     pieces = spark.sparkContext.broadcast(id_to_piece(spark, tokenizer).collect())
     fields = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
 
-    def lay_out(key, docs_: Iterator[pa.RecordBatch], words: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, spelt = [], []
-        for b in words:
-            numbers.append(b.column("number").to_numpy())
-            spelt += b.column("ids").to_pylist()
-        ids_of = [b""] * len(spelt)
-        for n, x in zip(np.concatenate(numbers).tolist() if numbers else [], spelt, strict=True):
-            ids_of[n] = x
-        wide = [np.frombuffer(x[1:], "<u4" if x[0] else "<u2").astype("<u4").tobytes() for x in ids_of]
+    def lay_out(docs_: pa.Table, words: pa.Table) -> pa.Table:
+        ids_of = [b""] * words.num_rows
+        for n, x in zip(words.column("number").to_pylist(), words.column("ids").to_pylist(), strict=True):
+            ids_of[n] = np.frombuffer(x[1:], "<u4" if x[0] else "<u2").astype("<u4").tobytes()
         table_ = Pieces(pieces.value)
-        for b in docs_:
-            out = {f: [] for f in fields}
-            for k, places, crc in zip(b.column("id").to_pylist(), b.column("places").to_pylist(), b.column("crc").to_pylist(), strict=True):
-                ids = b"".join([wide[i] for i in _long(places).tolist()])
-                text = table_.join(np.frombuffer(ids, "<u4")).decode("utf-8", "replace").encode()
-                if zlib.crc32(text) != crc:
-                    raise ValueError("a decoded text differs from its document: the input changed between two passes")
-                row = (k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), ids, text.decode() if keep else None)
-                for f, v in zip(fields, row, strict=False):
-                    out[f].append(v)
-            yield pa.record_batch([pa.array(out[f], t) for f, t in zip(fields, types, strict=True)], names=fields)
+        out = {f: [] for f in fields}
+        for k, places, crc in zip(docs_.column("id").to_pylist(), docs_.column("places"), docs_.column("crc").to_pylist(), strict=True):
+            ids = b"".join([ids_of[i] for i in _long(places.as_py()).tolist()])
+            text = table_.join(np.frombuffer(ids, "<u4")).decode("utf-8", "replace").encode()
+            if zlib.crc32(text) != crc:
+                raise ValueError("a decoded text differs from its document: the input changed between two passes")
+            row = (k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), ids, text.decode() if keep else None)
+            for f, v in zip(fields, row, strict=False):
+                out[f].append(v)
+        return pa.table([pa.array(out[f], t) for f, t in zip(fields, types, strict=True)], names=fields)
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if keep else [])]
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
