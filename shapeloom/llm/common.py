@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -129,30 +130,66 @@ def load_tokenizer(path: str):
     return _LOADED[path]
 
 
-class UnitIds(dict):
-    """Word with its leading white space -> token ids as little-endian bytes, from the library itself.
+class Remembered(dict):
+    """A bounded memory of computed values. When it is full it becomes the older half, from which what is asked for again
+    comes back, so that frequent keys stay; ``make`` computes what neither half has."""
 
-    Every pattern of these tokenizers ends its pieces where white space begins, so a text's ids are its words' ids in order.
-    The cache is emptied when it holds ``most`` words, which bounds memory and changes no result.
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.older = max(1, most // 2), {}
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 200:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+#: Letters, numbers and white space below U+0250, where there are no combining marks and lower case is one to one or known.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_BEYOND = re.compile("[^\x00-\u024f]")
+_BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
+class UnitIds(Remembered):
+    """Piece of text -> token ids as little-endian bytes, from the library itself, each piece encoded once per worker.
+
+    Every pattern of these tokenizers ends its pieces where white space begins, so a text's ids are its words' ids in order. Texts of
+    letters below U+0250 are cut further, into the pieces of the tokenizer's own pattern, if that is one of the two known.
     """
 
-    def __init__(self, path: str, width: int = 4, most: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
+    def __init__(self, path: str, width: int = 4, most: int = 600_000):
+        super().__init__(most)
+        self.tokenizer, self.width = load_tokenizer(path), width
         self.dtype = {2: "<u2", 4: "<u4"}[width]
-
-    def __missing__(self, unit: str) -> bytes:
+        made = json.loads(self.tokenizer.to_str())
+        self.lower = "Lowercase" in json.dumps(made["normalizer"])
+        before = json.dumps(made["pre_tokenizer"], ensure_ascii=False)
+        if '"use_regex": true' in before and not made["normalizer"]:
+            self.pieces = _BYTE_LEVEL
+        elif r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in before and self.lower:
+            self.pieces = _WORD_LEVEL
+        else:
+            self.pieces = None
+
+    def make(self, unit: str) -> bytes:
         import numpy as np
 
-        ids = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(unit) < 200:
-            self[unit] = ids
-        return ids
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        if self.pieces is None or "<|" in text or _BEYOND.search(text):
+            return b"".join(map(self.__getitem__, UNIT.findall(text)))
+        return b"".join(map(self.__getitem__, self.pieces.findall(text.lower() if self.lower else text)))
 
 
 _UNITS: dict[tuple[str, int], UnitIds] = {}

@@ -19,36 +19,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, mark_passing, materialise, scratch_path, table, tokenizer_path, whole_text
+from .common import Remembered, bounded_batches, map_batches, mark_passing, materialise, scratch_path, table, tokenizer_path, whole_text
 
 _RUN = re.compile(" +[^ ]*")
 _MODELS: dict[str, PieceCounts] = {}
 
 
-class PieceCounts(dict):
+class PieceCounts(Remembered):
     """Tokens of a word with the spaces before it. The model joins no piece across the start of a run of spaces.
 
     The library puts one space before a text, so a word is given to it without its first space.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         import sentencepiece
 
-        super().__init__()
-        self.model, self.most = sentencepiece.SentencePieceProcessor(model_file=path), most
-
-    def __missing__(self, word: str) -> int:
-        n = len(self.model.encode(word)) if word else self._lone
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) < 200:
-            self[word] = n
-        return n
-
-    @property
-    def _lone(self) -> int:
-        """A single space at a text's end."""
-        return len(self.model.encode("a ")) - len(self.model.encode("a"))
+        super().__init__(most)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        #: A single space at a text's end.
+        self.lone = len(self.model.encode("a ")) - len(self.model.encode("a"))
+
+    def make(self, word: str) -> int:
+        return len(self.model.encode(word)) if word else self.lone
 
     def count(self, text: str) -> int:
         if not text:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, map_batches, table, whole_text
+from .common import Remembered, bounded_batches, held_out, map_batches, table, whole_text
 
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -66,6 +66,18 @@ def _compressor(content: bytes):
     return z.ZstdCompressor(dict_data=d, compression_params=params)
 
 
+class _Differences(Remembered):
+    """Window -> its length against ordinary text less its length against toxic text."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes, width: int, most: int):
+        super().__init__(most)
+        self.both, self.plain, self.wide = _compressor(toxic + ordinary), _compressor(ordinary), _Wide(width)
+
+    def make(self, window: str) -> int:
+        data = f" {window} ".translate(self.wide).encode("latin-1")
+        return len(self.plain.compress(data)) - len(self.both.compress(data))
+
+
 @dataclass
 class Model:
     """What a fit gives: two dictionaries, the windows' threshold, and the logistic curve's weights."""
@@ -76,7 +88,7 @@ class Model:
     window_words: int = 1
     threshold: int = 3
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    most: int = field(default=400_000, repr=False)
+    most: int = field(default=600_000, repr=False)
 
     def __post_init__(self):
         self._ready = None
@@ -87,22 +99,10 @@ class Model:
     def differences(self, text: str) -> list[int]:
         """Per window: its length against ordinary text less its length against toxic text."""
         if self._ready is None:
-            self._ready = (_compressor(self.toxic + self.ordinary), _compressor(self.ordinary), _Wide(self.width), {})
-        a, b, wide, known = self._ready
+            self._ready = _Differences(self.toxic, self.ordinary, self.width, self.most)
         words, k = WORD.findall(text.lower()), self.window_words
         windows = words if k == 1 else [" ".join(words[i : i + k]) for i in range(0, len(words), k)]
-        out = []
-        for w in windows:
-            d = known.get(w)
-            if d is None:
-                data = f" {w} ".translate(wide).encode("latin-1")
-                d = len(b.compress(data)) - len(a.compress(data))
-                if len(known) >= self.most:
-                    known.clear()
-                if len(w) < 200:
-                    known[w] = d
-            out.append(d)
-        return out
+        return list(map(self._ready.__getitem__, windows))
 
     def evidence(self, text: str) -> tuple[float, float]:
         found = self.differences(text)
