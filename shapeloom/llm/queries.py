@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash, token_counts, token_store, toxicity, transport_stream, warc
+from . import bpe, exact_dedup, language, packing, simhash, token_counts, token_store, toxicity, transport_stream, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_bpe": bpe.op2_bpe,
+    "op3_language": language.op3_language,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_simhash": simhash.op5_simhash,
     "op6_transport_stream": transport_stream.op6_transport_stream,
