@@ -31,12 +31,11 @@ def _once(df: DataFrame) -> DataFrame:
 def _hop(quads: DataFrame, nodes: DataFrame, iri: str, backwards: bool) -> DataFrame:
     """One predicate: as many rows as there are quads."""
     here, there = ("o", "s") if backwards else ("s", "o")
-    edges = quads.where(F.col("p") == iri).select("ord", F.col(here).alias("here"), F.col(there).alias("there"))
-    start = F.col("term")
-    on = (start["value"] == F.col("here.value")) & (start["kind"] == F.col("here.kind"))
+    edges = quads.where(F.col("p") == iri).select(F.col("ord").alias("_at"), F.col(here).alias("_here"), F.col(there).alias("_there"))
+    on = (F.col("term.value") == F.col("_here.value")) & (F.col("term.kind") == F.col("_here.kind"))
     if backwards:
-        on = on & (start["datatype"] == F.col("here.datatype")) & (start["lang"] == F.col("here.lang"))
-    return nodes.join(edges, on).select("ctx", F.concat(nodes["ord"], F.array(edges["ord"])).alias("ord"), F.col("there").alias("term"))
+        on = on & (F.col("term.datatype") == F.col("_here.datatype")) & (F.col("term.lang") == F.col("_here.lang"))
+    return nodes.join(edges, on).select("ctx", F.concat("ord", F.array("_at")).alias("ord"), F.col("_there").alias("term"))
 
 
 def follow(quads: DataFrame, nodes: DataFrame, path: Path, top: bool = True) -> DataFrame:

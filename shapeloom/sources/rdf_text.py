@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,7 +169,11 @@ def parse_turtle(text: str) -> list[Quad]:
 
 
 def quads_frame(spark: SparkSession, quads: Iterable[Quad]) -> DataFrame:
-    return spark.createDataFrame([(i, tuple(q.s), q.p, tuple(q.o), tuple(q.g)) for i, q in enumerate(quads)], QUAD)
+    """Quads of the driver as a frame, by Arrow, so that no Python worker is needed to read them."""
+    term = pa.struct([("kind", pa.int8()), ("value", pa.string()), ("datatype", pa.string()), ("lang", pa.string())])
+    schema = pa.schema([("ord", pa.int64()), ("s", term), ("p", pa.string()), ("o", term), ("g", term)])
+    rows = [{"ord": i, "s": q.s._asdict(), "p": q.p, "o": q.o._asdict(), "g": q.g._asdict()} for i, q in enumerate(quads)]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema), QUAD) if rows else spark.createDataFrame([], QUAD)
 
 
 def quads_of(df: DataFrame) -> list[Quad]:
