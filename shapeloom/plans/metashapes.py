@@ -12,6 +12,8 @@ from .shapes import (
 #: The namespace of shape files written for this library; files in another namespace with the same local names are read as well.
 SHAPES = "urn:shapeloom:schema#"
 KINDS = {"Record": Record, "AnyOf": AnyOf, "Set": Set, "Optional": Optional, "Resource": Resource, "Literal": Literal, "List": List, "Map": Map}
+#: Fixed: the order in which the kinds of shapes are tried.
+KIND_ORDER = ["Record", "AnyOf", "Set", "Optional", "Resource", "Literal", "List", "Map"]
 PATHS = {"inversePath": "inverse", "alternativePath": "alternative", "zeroOrMorePath": "zeroOrMore", "zeroOrOnePath": "zeroOrOne", "oneOrMorePath": "oneOrMore"}
 PARTS = {"TermDatatype": "datatype", "TermLanguage": "language", "TermValue": "value"}
 
@@ -106,7 +108,8 @@ class ShapeGraph:
             s.type_properties, s.properties = self.properties(node, "typeProperty"), self.properties(node, "property")
             s.computed = [(self.need(x, "name").value, self.shape(self.need(x, "shape"))) for x in self.all(node, "computedProperty")]
         elif isinstance(s, AnyOf):
-            s.variants = [self.shape(x) for x in self.all(node, "variant")]
+            # A set of shapes is a set of unions by kind, which come in the order of the kinds, then of the graph.
+            s.variants = sorted((self.shape(x) for x in self.all(node, "variant")), key=lambda v: KIND_ORDER.index(type(v).__name__))
         elif isinstance(s, Resource):
             s.only_named, s.value, s.keep_as_term, s.vocabulary = self.flag(node, "onlyNamed"), value, self.flag(node, "keepAsTerm"), self.vocabulary(self.one(node, "vocabulary"))
         elif isinstance(s, Literal):
