@@ -18,7 +18,7 @@ import json
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -550,16 +550,17 @@ def frame_recursive(quads: DataFrame, shape: Shape, candidates: DataFrame | None
     # A root that has no quads of its own still has a value if the shape matches nothing.
     local = local.unionByName(candidates.select(F.col("term").alias("root"), F.lit(None).cast(dict(local.dtypes)["quad"]).alias("quad")))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = json.loads(pdf["root"].iloc[0])
-        rows = sorted((json.loads(q) for q in pdf["quad"] if q is not None), key=lambda q: q["ord"])
+    def build(part: pa.Table) -> pa.Table:
+        r = json.loads(part.column("root")[0].as_py())
+        rows = sorted((json.loads(q) for q in part.column("quad").to_pylist() if q is not None), key=lambda q: q["ord"])
         graph = Graph(Quad(Term(**q["s"]), q["p"], Term(**q["o"]), Term(**q["g"])) for q in rows)
         root = Term(*(r[k] for k in ("kind", "value", "datatype", "lang")))
         found = Framer(graph).frame(shape, [root], strict)
-        return pd.DataFrame({"root_text": [str(root)] * len(found), "n": range(len(found)), "value": [json.dumps(as_json(v), ensure_ascii=False) for v in found]})
+        made = [json.dumps(as_json(v), ensure_ascii=False) for v in found]
+        return pa.table({"root_text": pa.array([str(root)] * len(made), pa.string()), "n": pa.array(range(len(made)), pa.int32()), "value": pa.array(made, pa.string())})
 
     keyed = local.select(term_text_col(F.col("root")).alias("key"), F.to_json("root").alias("root"), F.to_json("quad").alias("quad"))
-    made = keyed.groupBy("key").applyInPandas(build, "root_text string, n int, value string")
+    made = keyed.groupBy("key").applyInArrow(build, "root_text string, n int, value string")
     roots = candidates.select("term", F.array("ord").alias("ord"), term_text_col(F.col("term")).alias("root_text"))
     return made.join(roots, "root_text").select(F.col("term").alias("root"), F.concat("ord", F.array(F.col("n").cast("long"))).alias("ord"), "value")
 
