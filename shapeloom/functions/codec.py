@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.shapes import Literal, Resource, native_type
-from .terms import IRI, LANG_STRING, LITERAL, TERM, XSD_STRING, constant_col, is_resource, iri_col, literal_col, resource_from_text, resource_text, same_term
+from .terms import IRI, LANG_STRING, LITERAL, TERM, XSD_STRING, constant_col, is_resource, iri_col, literal_col, number_text_col, resource_from_text, resource_text, same_term
 
 _NATIVE = {"string": T.StringType(), "boolean": T.BooleanType(), "long": T.LongType(), "double": T.DoubleType(), "term": TERM}
 
@@ -66,7 +66,7 @@ class NativeCodec(ValueCodec):
             return c
         text = c.cast("string")
         if kind == "double":
-            text = F.when((c == F.floor(c)) & (F.abs(c) < 1e15), F.format_string("%.0f", c)).otherwise(text)
+            text = number_text_col(c)
         return literal_col(text, shape.effective_datatype or XSD_STRING, shape.language if shape.effective_datatype == LANG_STRING else "")
 
 

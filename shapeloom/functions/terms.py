@@ -146,6 +146,11 @@ def term_text_col(t: Column) -> Column:
     )
 
 
+def number_text_col(c: Column) -> Column:
+    """A double as text: whole numbers without a point."""
+    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), F.format_string("%.0f", c)).otherwise(c.cast("string"))
+
+
 def resource_text(t: Column) -> Column:
     """An IRI, or a blank node's label after ``_:``."""
     return F.when(t["kind"] == BLANK, F.concat(F.lit("_:"), t["value"])).otherwise(t["value"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import XSD_BOOLEAN, XSD_DATETIME, XSD_DOUBLE, XSD_INTEGER, XSD_STRING, default_graph, iri_col, literal_col
+from ..functions.terms import XSD_BOOLEAN, XSD_DATETIME, XSD_DOUBLE, XSD_INTEGER, XSD_STRING, default_graph, iri_col, literal_col, number_text_col
 
 _TYPES = {"tinyint": XSD_INTEGER, "smallint": XSD_INTEGER, "int": XSD_INTEGER, "bigint": XSD_INTEGER, "double": XSD_DOUBLE, "float": XSD_DOUBLE, "boolean": XSD_BOOLEAN, "timestamp": XSD_DATETIME, "timestamp_ntz": XSD_DATETIME}
 
@@ -21,7 +21,8 @@ def lift(table: DataFrame, subject: Column, properties: dict[str, str | Column],
         pairs.append(("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", iri_col(type_iri), F.lit(True)))
     for p, c in properties.items():
         if isinstance(c, str):
-            pairs.append((p, literal_col(F.col(c).cast("string"), _TYPES.get(types[c], XSD_STRING)), F.col(c).isNotNull()))
+            text = number_text_col(F.col(c)) if types[c] in ("double", "float") else F.col(c).cast("string")
+            pairs.append((p, literal_col(text, _TYPES.get(types[c], XSD_STRING)), F.col(c).isNotNull()))
         else:
             pairs.append((p, c, c["value"].isNotNull()))
     made = F.array(*(F.when(there, F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), o.alias("o"))) for i, (p, o, there) in enumerate(pairs)))
