@@ -189,6 +189,7 @@ NEXT = 4
 
 
 def _bucket_pairs(most_bits: int, pivot_count: int):
+    """Pairs of a sorted partition's buckets, but for those whose rows are known to be of one group."""
     import numpy as np
 
     marks = np.array([p & (2**64 - 1) for p in pivots(pivot_count)], dtype=np.uint64)
@@ -197,18 +198,18 @@ def _bucket_pairs(most_bits: int, pivot_count: int):
         # Rows come sorted by bucket; what may belong to the next batch's first bucket is carried over.
         left, first = None, None
         for batch in batches:
-            band, key, ids, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            band, key, ids, fp, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             bucket = (band.astype(np.int64) << 32) | key.astype(np.int64)
             fp = fp.view(np.uint64)
             if left is not None:
-                bucket, ids, fp = (np.concatenate(x) for x in zip(left, (bucket, ids, fp), strict=True))
+                bucket, ids, fp, group = (np.concatenate(x) for x in zip(left, (bucket, ids, fp, group), strict=True))
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             sizes = np.diff(np.r_[starts, len(bucket)])
             run_size, run_start = np.repeat(sizes, sizes), np.repeat(starts, sizes)
-            head_id, head_fp = ids[run_start], fp[run_start]
+            head_id, head_fp, head_group = ids[run_start], fp[run_start], group[run_start]
             if first is not None:  # the first bucket began in an earlier batch
                 same = bucket == first[0]
-                head_id, head_fp = np.where(same, first[1], head_id), np.where(same, first[2], head_fp)
+                head_id, head_fp, head_group = (np.where(same, a, b) for a, b in zip(first[1:], (head_id, head_fp, head_group), strict=True))
                 run_size = np.where(same, SMALL_BUCKET + 1, run_size)
             table_ = np.bitwise_count(fp[:, None] ^ marks).astype(np.int16)
             out = []
@@ -216,12 +217,13 @@ def _bucket_pairs(most_bits: int, pivot_count: int):
             for step in range(1, min(SMALL_BUCKET, n)):
                 i = np.flatnonzero((bucket[step:] == bucket[:-step]) & ((step <= NEXT) | (run_size[step:] <= SMALL_BUCKET)))
                 if not len(i):
-                    break
+                    break  # no bucket is longer
+                i = i[group[i] != group[i + step]]
                 i = i[np.abs(table_[i] - table_[i + step]).max(axis=1) <= most_bits]
                 i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= most_bits]
                 out.append((ids[i], ids[i + step]))
             far = np.flatnonzero(run_size > SMALL_BUCKET)
-            far = far[np.bitwise_count(fp[far] ^ head_fp[far]) <= most_bits]
+            far = far[(group[far] != head_group[far]) & (np.bitwise_count(fp[far] ^ head_fp[far]) <= most_bits)]
             out.append((head_id[far], ids[far]))
             u, v = (np.concatenate(x) for x in zip(*out, strict=True))
             keep = u != v
@@ -230,14 +232,15 @@ def _bucket_pairs(most_bits: int, pivot_count: int):
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
             size = sizes[-1]
             tail = slice(n - min(size, SMALL_BUCKET), n)
-            left = (bucket[tail], ids[tail], fp[tail])
-            first = (bucket[-1], head_id[-1], head_fp[-1]) if run_size[-1] > SMALL_BUCKET else None
+            left = (bucket[tail], ids[tail], fp[tail], group[tail])
+            first = (bucket[-1], head_id[-1], head_fp[-1], head_group[-1]) if run_size[-1] > SMALL_BUCKET else None
 
     return run
 
 
-def similar_pairs(marks: DataFrame, width: int, bands: int, similarity: float = 0.8, pivot_count: int = 16) -> DataFrame:
-    """(u, v): ids whose wide fingerprints differ in no more bits than ``similarity`` gives."""
+def similar_pairs(marks: DataFrame, width: int, bands: int, use: range, similarity: float = 0.8, pivot_count: int = 16) -> DataFrame:
+    """(u, v): ids that meet in one of the bands ``use`` and whose wide fingerprints differ in no more bits than ``similarity``
+    gives. ``marks`` has the group that each id is known to be of; pairs within a group are left out."""
     import numpy as np
 
     turned = turned_bits(similarity)
@@ -245,19 +248,15 @@ def similar_pairs(marks: DataFrame, width: int, bands: int, similarity: float =
 
     def explode(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<i4")
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<i4").reshape(-1, bands)[:, use.start : use.stop]
             n = batch.num_rows
+            each = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), len(use))) for i in (0, 1, 3))
             yield pa.record_batch(
-                [
-                    pa.array(np.tile(np.arange(bands, dtype=np.int16), n)),
-                    pa.array(keys),
-                    pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)),
-                    pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), bands)),
-                ],
-                names=["band", "key", "id", "fp"],
+                [pa.array(np.tile(np.arange(use.start, use.stop, dtype=np.int16), n)), pa.array(keys.reshape(-1)), *each],
+                names=["band", "key", "id", "fp", "group"],
             )
 
-    rows = marks.select("id", "fp", "keys").where("id is not null").mapInArrow(explode, "band short, key int, id long, fp long")
+    rows = marks.select("id", "fp", "keys", "group").where("id is not null").mapInArrow(explode, "band short, key int, id long, fp long, group long")
     found = (
         rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp", "id")
         .mapInArrow(_bucket_pairs(most, pivot_count), "u long, v long").distinct()
@@ -286,11 +285,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each group stays: the smallest id. Rows without an id are left alone.
 
     Texts are linked at ``similarity`` of their shingles of ``size`` words, estimated by wide fingerprints (over 1000 bits);
-    groups are what links connect.
+    groups are what links connect. The first few bands are looked at first, and what they link is a group that the other bands
+    take as known: a large group of near copies is joined once, not once a band.
     """
     width, bands = banding(docs.count(), similarity)
     marks = materialise(wide_fingerprints(docs, width, bands, id_col, text_col, size), "wide")
-    roots = connected_components(similar_pairs(marks, width, bands, similarity))
+    few = max(1, bands // 6)
+    first = materialise(connected_components(similar_pairs(marks.withColumn("group", F.col("id")), width, bands, range(few), similarity)), "first-groups")
+    known = marks.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+    more = similar_pairs(known, width, bands, range(few, bands), similarity)
+    roots = connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     gone = roots.where("node <> root").select(F.col("node").alias("_id"))
     return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
 
