@@ -2,8 +2,8 @@
 
 Texts are split into words (with the white space before them; no piece of these vocabularies crosses that border). Within a
 chunk, the consecutive documents of a task up to a bounded size, words are numbered, and a document becomes the list of its
-words' numbers: its positions. Only the chunks' distinct words travel: all rows of one word meet in one partition, where the
-word is encoded once, and the ids go back to the chunks by number and are laid out by position. Decoding joins every id to its
+words' numbers: its positions. Only the chunks' distinct words travel, packed by a hash of the word: all copies of one word meet
+in one bucket, where the word is encoded once, and the ids go back to the chunks by number and are laid out by position. Decoding joins every id to its
 piece in the id-to-piece table, which the vocabulary bounds, and joins the pieces' bytes.
 
 Positions and words are made by two passes over the input with the same splits. Each document carries the CRC-32 of its text, and
@@ -80,20 +80,45 @@ def _long(data: bytes) -> np.ndarray:
     return value
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(word, chunk, number): the distinct words of every chunk."""
+def _packed(numbers: np.ndarray, parts: list[bytes]) -> bytes:
+    """Numbers and byte strings side by side: counts, numbers and lengths as columns, then the bytes, compressed."""
+    import zstandard
+
+    lengths = np.fromiter(map(len, parts), "<u4", len(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((len(parts).to_bytes(4, "little"), numbers.astype("<u4").tobytes(), lengths.tobytes(), *parts)))
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:4], "little")
+    numbers, lengths = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n, 4 + 4 * n)
+    ends = np.cumsum(lengths, dtype=np.int64) + 4 + 8 * n
+    return numbers, [data[i:j] for i, j in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+
+
+def distinct_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, words): the distinct words of every chunk with their numbers, together by a hash of the word."""
 
     def run(batches):
         for chunk, words, *_ in _chunks(batches):
-            w = list(words)
-            for at in range(0, len(w), 50_000):
-                part = w[at : at + 50_000]
+            raw = [w.encode() for w in words]
+            at = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order])) + 1
+            groups = np.split(order, cuts)
+            for i in range(0, len(groups), 64):
+                part = groups[i : i + 64]
                 yield pa.record_batch(
-                    [pa.array(part, pa.string()), pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32))],
-                    names=["word", "chunk", "number"],
-                )
+                    [
+                        pa.array([int(at[g[0]]) for g in part], pa.int32()), pa.array([chunk] * len(part), pa.int64()),
+                        pa.array([_packed(g, [raw[j] for j in g.tolist()]) for g in part], pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "words"],
+                )
 
-    return docs.mapInArrow(run, "word string, chunk long, number int")
+    return docs.mapInArrow(run, "bucket int, chunk long, words binary")
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -114,26 +139,27 @@ def positions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, id long, places binary, crc long")
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(chunk, number, ids): each distinct word is encoded once, where all its rows have met, in sorted order."""
+def encode_words(words: DataFrame, tokenizer: str, parts: int) -> DataFrame:
+    """(chunk, ids): each distinct word is encoded once, where its bucket's rows have met; one bucket's words are held at a time."""
 
     def run(batches):
         t = load_tokenizer(tokenizer)
-        last, ids = None, b""
+        bucket, known = None, {}
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            new = [w for w, before in zip(found, [last, *found], strict=False) if w != before]
-            made = iter([np.array(e.ids, "<u2" if max(e.ids, default=0) < 65536 else "<u4") for e in t.encode_batch(new, add_special_tokens=False)])
-            out = []
-            for w in found:
-                if w != last:
-                    a = next(made)
-                    last, ids = w, (b"\0" if a.itemsize == 2 else b"\1") + a.tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["chunk", "number", "ids"])
-
-    met = words.repartition("word").sortWithinPartitions("word").select("word", "chunk", "number")
-    return met.mapInArrow(run, "chunk long, number int, ids binary")
+            made = []
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                numbers, found = _unpacked(data)
+                new = [w for w in found if w not in known]
+                for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+                    small = max(e.ids, default=0) < 65536
+                    known[w] = (b"\0" if small else b"\1") + np.array(e.ids, "<u2" if small else "<u4").tobytes()
+                made.append(_packed(numbers, [known[w] for w in found]))
+            yield pa.record_batch([batch.column(1), pa.array(made, pa.binary())], names=["chunk", "ids"])
+
+    met = words.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk")
+    return met.mapInArrow(run, "chunk long, ids binary")
 
 
 def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -176,9 +202,11 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     fields = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
 
     def lay_out(docs_: pa.Table, words: pa.Table) -> pa.Table:
-        ids_of = [b""] * words.num_rows
-        for n, x in zip(words.column("number").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            ids_of[n] = np.frombuffer(x[1:], "<u4" if x[0] else "<u2").astype("<u4").tobytes()
+        rows = [_unpacked(x.as_py()) for x in words.column("ids")]
+        ids_of = [b""] * sum(len(spelt) for _, spelt in rows)
+        for numbers, spelt in rows:
+            for n, x in zip(numbers.tolist(), spelt, strict=True):
+                ids_of[n] = np.frombuffer(x, "<u4" if x[0] else "<u2", offset=1).astype("<u4").tobytes()
         table_ = Pieces(pieces.value)
         out = {f: [] for f in fields}
         for k, places, crc in zip(docs_.column("id").to_pylist(), docs_.column("places"), docs_.column("crc").to_pylist(), strict=True):
@@ -193,7 +221,10 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary(), pa.string()] if keep else [])]
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
-    encoded = encode_words(distinct_words(rows), tokenizer)
+    # A bucket's distinct words are held by one worker: buckets grow with the table.
+    buckets = max(256, docs.count() // 5000)
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    encoded = encode_words(distinct_words(rows, buckets), tokenizer, parts)
     laid = positions(rows).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(lay_out, schema)
     return laid.withColumnRenamed("id", id_col)
 
