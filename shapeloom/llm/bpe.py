@@ -103,6 +103,8 @@ def distinct_words(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         for chunk, words, *_ in _chunks(batches):
+            if not words:
+                continue
             raw = [w.encode() for w in words]
             at = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
             order = np.argsort(at, kind="stable")
