@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,10 @@ class Static:
 
 
 class Compiler:
+    """With ``errors`` every outcome that does not fit says why; ``fatal`` says whether that is an error of the whole."""
+
+    shapes: dict[str, Shape]
+
     def __init__(self, quads: DataFrame, codec: ValueCodec, errors: bool, captures: list[str]):
         self.quads, self.codec, self.errors, self.captures = quads, codec, errors, captures
         self.types: dict[str, T.DataType] = {}
@@ -158,7 +162,7 @@ class Compiler:
         term = F.col("term")
         code = node_code(shape, term)
         stack = F.array(_frame_col(shape, term_text_col(term)))
-        err = F.when(F.lit(required), self.err(code, stack)) if self.errors else self.err(0, None)
+        err = self.err(code, stack) if self.errors else self.err(0, None)
         return cands.select(
             "ctx", "ord", "term", (code == 0).alias("ok"), F.when(code == 0, self.codec.decode(shape, term)).alias("value"),
             (F.lit(required) & (code != 0)).alias("fatal"), err.alias("err"), *self.own_caps(shape, term),
@@ -200,25 +204,27 @@ class Compiler:
             base = terms
         rest = [i for i in range(len(props)) if i not in simple]
         fits = lambda i: (F.col(f"n{i}") == 1) & (F.col(f"b{i}") == 0)
-        for i in sorted(rest):
+        # Candidates of the other properties are the terms that fit the simple type properties, taken from the first step, so that no
+        # property's plan has another's in it.
+        alive = base.where(is_resource(F.col("term")))
+        if before := [j for j in range(n_type) if j in simple]:
+            alive = alive.where(reduce(Column.__and__, [fits(j) for j in before]))
+        alive = alive.select("term")
+        for i in rest:
             p, need = props[i]
-            alive = base.where(is_resource(F.col("term")))
-            before = [j for j in range(n_type) if j in simple or j < i]
-            if before:
-                alive = alive.where(reduce(Column.__and__, [fits(j) for j in before if j != i] or [F.lit(True)]))
-            base = base.join(self._property(p, alive.select("term"), need, i).withColumnRenamed("term", "_term"), same_term(F.col("term"), F.col("_term")), "left").drop("_term")
+            base = base.join(self._property(p, alive, need, i).withColumnRenamed("term", "_term"), same_term(F.col("term"), F.col("_term")), "left").drop("_term")
             base = self._filled(base, p, i, need)
         focus = term_text_col(F.col("term")) if self.errors else None
         me = _frame_col(shape, focus)
         code = F.when(~is_resource(F.col("term")), F.lit(205))
-        ok, fatal, err = is_resource(F.col("term")), F.when(~is_resource(F.col("term")), F.lit(required)), F.when(~is_resource(F.col("term")) & F.lit(required), self.err(205, F.array(me)))
+        ok, fatal, err = is_resource(F.col("term")), F.when(~is_resource(F.col("term")), F.lit(required)), F.when(~is_resource(F.col("term")), self.err(205, F.array(me)))
         for i, (p, need) in enumerate(props):  # the first property that does not fit decides
             bad = ~fits(i)
             ok = ok & ~bad
             inner = F.col(f"f{i}")
             fatal = fatal.when(bad, inner | F.lit(need))
             code = F.when(F.col(f"b{i}") > 0, 202).when(F.col(f"n{i}") == 0, 203).otherwise(204)
-            err = err.when(bad & (inner | F.lit(need)), F.coalesce(self.under(F.col(f"e{i}"), me, p.name), self.err(code, F.array(me)))) if self.errors else err
+            err = err.when(bad, F.coalesce(self.under(F.col(f"e{i}"), me, p.name), self.err(code, F.array(me)))) if self.errors else err
         caps = [F.coalesce(*(F.col(f"{c}_{i}") for i in reversed(range(len(props)))), F.lit(None).cast(TERM)) for c in self.caps]
         row = {c: v for c, v in zip(self.captures, caps, strict=True)}
         fields = [F.col(f"v{i}").alias(p.name) for i, (p, _) in enumerate(props) if not p.transient]
@@ -238,7 +244,7 @@ class Compiler:
         n, b = len(s.matches), int(bool(s.code))
         value = s.matches[0] if n == 1 else F.lit(None)
         out = base.withColumn(f"v{i}", F.when(none, value.cast(self.type_of(p.shape))).otherwise(F.col(f"v{i}")))
-        if self.errors and s.code and need:
+        if self.errors and s.code:
             out = out.withColumn(f"e{i}", F.when(none, self.err(s.code, F.array(_frame_col(p.shape)))).otherwise(F.col(f"e{i}")))
         out = out.withColumn(f"f{i}", F.coalesce(f"f{i}", F.lit(need and bool(s.code))))
         return out.withColumn(f"b{i}", F.when(none, b).otherwise(F.col(f"b{i}"))).withColumn(f"n{i}", F.coalesce(f"n{i}", F.lit(n)))
@@ -255,7 +261,7 @@ class Compiler:
             value = self.codec.decode(p.shape, o)
             # With exactly one match, which is checked, min is that match.
             aggs.append(F.min(F.when(good, value)).alias(f"v{i}") if not isinstance(self.type_of(p.shape), T.VariantType) else F.first(F.when(good, value), ignorenulls=True).alias(f"v{i}"))
-            if self.errors and need:
+            if self.errors:
                 bad = F.min(F.when(here & (code != 0), F.struct("ord", code.alias("code"), term_text_col(o).alias("focus"))))
                 aggs.append(F.when(bad.isNotNull(), F.struct(bad["code"].cast("int").alias("code"), F.array(_frame_col(p.shape, bad["focus"])).alias("stack")).cast(ERR)).alias(f"e{i}"))
             else:
@@ -275,28 +281,35 @@ class Compiler:
         )
 
     def _anyOf(self, shape: AnyOf, cands: DataFrame, required: bool) -> DataFrame:
-        kind = self.type_of(shape)
-        good = None
+        """Every variant sees all candidates. What all of them and the candidates give is looked over once, by windows, so that no
+        variant's plan is there twice."""
+        kind, groups = self.type_of(shape), any(not isinstance(x, Record | List | Resource | Literal) for x in shape.variants)
+        no_caps = [F.lit(None).cast(TERM).alias(c) for c in self.caps]
+        none = F.lit(None).cast(kind).alias("value")
+        last = F.lit(len(shape.variants)).cast("long")
+        rows = cands.select("ctx", F.concat(F.array(last), "ord").alias("ord"), "term", F.lit(-1).alias("variant"), F.lit(False).alias("ok"), none, F.lit(False).alias("fatal"), F.lit(None).cast(ERR).alias("err"), *no_caps)
         for i, v in enumerate(shape.variants):
-            found = self.outcomes(v, cands, False).where("ok")
+            found = self.outcomes(v, cands, False)
             own = self.own_caps(shape, F.col("term")) if shape.id in self.captures else []
-            found = found.select(
-                "ctx", F.concat(F.array(F.lit(i).cast("long")), "ord").alias("ord"), "term", "ok", self.widened(v, F.col("value"), kind).alias("value"), "fatal", "err",
+            rows = rows.unionByName(found.select(
+                "ctx", F.concat(F.array(F.lit(i).cast("long")), "ord").alias("ord"), "term", F.lit(i).alias("variant"), "ok", self.widened(v, F.col("value"), kind).alias("value"), "fatal", "err",
                 *(F.coalesce(c, own[j]).alias(c) if own else F.col(c) for j, c in enumerate(self.caps)),
-            )
-            good = found if good is None else good.unionByName(found)
-        hit = good.select("ctx", "term").distinct()
-        whole = hit.where("term is null").select("ctx")
-        a, b = cands.alias("a"), hit.where("term is not null").alias("b")
-        left = a.join(b, same_term(F.col("a.ctx"), F.col("b.ctx")) & same_term(F.col("a.term"), F.col("b.term")), "left_anti")
-        if any(not isinstance(x, Record | List | Resource | Literal) for x in shape.variants):
-            left = left.join(whole, "ctx", "left_anti")
-        none = F.lit(None).cast(kind).alias("value")
-        bad = left.select("ctx", F.concat(F.array(F.lit(len(shape.variants)).cast("long")), "ord").alias("ord"), F.lit(None).cast(TERM).alias("term"), F.lit(False).alias("ok"), none, F.lit(required).alias("fatal"), self.err(0, None) if not self.errors else F.lit(None).cast(ERR).alias("err"), *(F.lit(None).cast(TERM).alias(c) for c in self.caps))
-        if self.errors and required:
-            strict = self.outcomes(shape.variants[0], left, True).where("err is not null")
-            bad = strict.select("ctx", F.concat(F.array(F.lit(len(shape.variants)).cast("long")), "ord").alias("ord"), F.lit(None).cast(TERM).alias("term"), F.lit(False).alias("ok"), none, F.lit(True).alias("fatal"), self.under(F.col("err"), _frame_col(shape)).alias("err"), *(F.lit(None).cast(TERM).alias(c) for c in self.caps))
-        return good.unionByName(bad)
+            ))
+        by_term, by_ctx = Window.partitionBy("ctx", "term"), Window.partitionBy("ctx")
+        matched = F.bool_or("ok").over(by_term)
+        why = F.first(F.when(F.col("variant") == 0, F.col("err")), ignorenulls=True).over(by_term) if self.errors else None
+        rows = rows.withColumn("matched", matched)
+        if self.errors:
+            rows = rows.withColumn("why", why)
+        if groups:  # a set or map that fits takes all candidates of its context
+            rows = rows.withColumn("matched", F.col("matched") | F.bool_or(F.col("ok") & F.col("term").isNull()).over(by_ctx))
+            if self.errors:
+                whole = F.first(F.when((F.col("variant") == 0) & F.col("term").isNull(), F.col("err")), ignorenulls=True).over(by_ctx)
+                rows = rows.withColumn("why", F.coalesce("why", whole))
+        left = (F.col("variant") == -1) & ~F.col("matched")
+        kept = rows.where(F.col("ok") | left | F.col("fatal"))
+        err = F.when(left & F.lit(self.errors), self.under(F.col("why"), _frame_col(shape))).when(F.col("fatal"), self.under(F.col("err"), _frame_col(shape))) if self.errors else F.lit(None).cast(ERR)
+        return kept.select("ctx", "ord", "term", "ok", "value", (F.col("fatal") | (left & F.lit(required))).alias("fatal"), err.alias("err"), *self.caps)
 
     def _gather(self, found: DataFrame) -> DataFrame:
         pair = F.when(F.col("ok"), F.struct("ord", F.col("value").alias("x"), *self.caps))
@@ -305,7 +318,7 @@ class Compiler:
     def _group(self, shape: Shape, got: DataFrame, code: Column, value: Column, required: bool) -> DataFrame:
         """The outcome of a set or a map from what was gathered; ``code`` is 0 where the gathered items make one."""
         ok = (F.col("n_bad") == 0) & (code == 0)
-        err = F.coalesce(self.under(F.col("err"), _frame_col(shape)), F.when(F.lit(required), self.err(code, F.array(_frame_col(shape))))) if self.errors else F.lit(None).cast(ERR)
+        err = F.coalesce(self.under(F.col("err"), _frame_col(shape)), self.err(code, F.array(_frame_col(shape)))) if self.errors else F.lit(None).cast(ERR)
         return got.select(
             "ctx", "ord", F.lit(None).cast(TERM).alias("term"), ok.alias("ok"), F.when(ok, value).alias("value"),
             (F.col("fatal") | (F.lit(required) & ~ok)).alias("fatal"), err.alias("err"), *self.caps,
@@ -449,7 +462,7 @@ class Compiler:
         ok = code == 0
         values = F.transform(F.array_sort(F.coalesce("cells", F.array().cast(dict(per.dtypes)["cells"])), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)), lambda c: c["x"])
         me = _frame_col(shape, term_text_col(F.col("term")))
-        err = F.when(code == -1, self.under(F.col("first.err"), _frame_col(shape))).when(F.lit(required), self.err(code, F.array(me))) if self.errors else F.lit(None).cast(ERR)
+        err = F.when(code == -1, self.under(F.col("first.err"), _frame_col(shape))).otherwise(self.err(code, F.array(me))) if self.errors else F.lit(None).cast(ERR)
         return out.select("term", ok.alias("ok"), F.when(ok, values).alias("value"), (F.coalesce("fatal", F.lit(False)) | (F.lit(required) & ~ok)).alias("fatal"), err.alias("err"), *self.caps)
 
 
