@@ -81,11 +81,11 @@ def _long(data: bytes) -> np.ndarray:
 
 
 def _packed(numbers: np.ndarray, parts: list[bytes]) -> bytes:
-    """Numbers and byte strings side by side: counts, numbers and lengths as columns, then the bytes, compressed."""
+    """Ascending numbers and byte strings side by side: steps and lengths as columns, then the bytes, compressed."""
     import zstandard
 
     lengths = np.fromiter(map(len, parts), "<u4", len(parts))
-    return zstandard.ZstdCompressor(level=3).compress(b"".join((len(parts).to_bytes(4, "little"), numbers.astype("<u4").tobytes(), lengths.tobytes(), *parts)))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((len(parts).to_bytes(4, "little"), np.diff(numbers, prepend=0).astype("<u4").tobytes(), lengths.tobytes(), *parts)))
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -93,7 +93,7 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
 
     data = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(data[:4], "little")
-    numbers, lengths = np.frombuffer(data, "<u4", n, 4), np.frombuffer(data, "<u4", n, 4 + 4 * n)
+    numbers, lengths = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64), np.frombuffer(data, "<u4", n, 4 + 4 * n)
     ends = np.cumsum(lengths, dtype=np.int64) + 4 + 8 * n
     return numbers, [data[i:j] for i, j in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
@@ -124,21 +124,19 @@ def distinct_words(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """(chunk, id, places, crc): every document as the numbers of its words."""
+    """(chunk, ids, crcs, places): up to 500 documents a row, each as the numbers of its words."""
 
     def run(batches):
         for chunk, _, keys, places, crcs in _chunks(batches):
             for at in range(0, len(keys), 500):
                 part = slice(at, at + 500)
+                blob = _packed(np.arange(len(keys[part])), [_short(x) for x in places[part]])
                 yield pa.record_batch(
-                    [
-                        pa.array(np.full(len(keys[part]), chunk, np.int64)), pa.array(keys[part], pa.int64()),
-                        pa.array([_short(x) for x in places[part]], pa.binary()), pa.array(crcs[part], pa.int64()),
-                    ],
-                    names=["chunk", "id", "places", "crc"],
-                )
+                    [pa.array([chunk]), pa.array([keys[part]], pa.list_(pa.int64())), pa.array([crcs[part]], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
+                    names=["chunk", "ids", "crcs", "places"],
+                )
 
-    return docs.mapInArrow(run, "chunk long, id long, places binary, crc long")
+    return docs.mapInArrow(run, "chunk long, ids array<long>, crcs array<long>, places binary")
 
 
 def encode_words(words: DataFrame, tokenizer: str, parts: int) -> DataFrame:
@@ -211,8 +209,9 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
                 ids_of[n] = np.frombuffer(x, "<u4" if x[0] else "<u2", offset=1).astype("<u4").tobytes()
         table_ = Pieces(pieces.value)
         out = {f: [] for f in fields}
-        for k, places, crc in zip(docs_.column("id").to_pylist(), docs_.column("places"), docs_.column("crc").to_pylist(), strict=True):
-            ids = b"".join([ids_of[i] for i in _long(places.as_py()).tolist()])
+        each = (x for row in docs_.to_batches(1) for x in zip(row.column("ids")[0].as_py(), _unpacked(row.column("places")[0].as_py())[1], row.column("crcs")[0].as_py(), strict=True))
+        for k, places, crc in each:
+            ids = b"".join([ids_of[i] for i in _long(places).tolist()])
             text = table_.join(np.frombuffer(ids, "<u4")).decode("utf-8", "replace").encode()
             if zlib.crc32(text) != crc:
                 raise ValueError("a decoded text differs from its document: the input changed between two passes")
