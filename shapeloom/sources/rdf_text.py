@@ -244,13 +244,13 @@ def write_json(values: DataFrame, path: str) -> None:
 
 
 def grouped_blanks(quads: list[Quad]) -> Iterator[tuple[Quad, list]]:
-    """Quads of named subjects, and under each the groups of blank nodes that occur once, as objects, and right after it."""
+    """Quads of subjects that stand alone, and under each the groups of blank nodes that are an object once."""
     uses: dict[Term, int] = {}
     own: dict[Term, list[int]] = {}
     for i, q in enumerate(quads):
         uses[q.o] = uses.get(q.o, 0) + (q.o.kind == BLANK)
         own.setdefault(q.s, []).append(i)
-    inside = {t: at for t, at in own.items() if t.kind == BLANK and uses.get(t) == 1 and at == list(range(at[0], at[0] + len(at)))}
+    inside = {t: at for t, at in own.items() if t.kind == BLANK and uses.get(t) == 1}
     # A node nested in itself has no outside: it is written by its label.
     parent = {q.o: q.s for q in quads if q.o in inside}
     for t in list(inside):
