@@ -290,7 +290,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     width, bands = banding(docs.count(), similarity)
     marks = materialise(wide_fingerprints(docs, width, bands, id_col, text_col, size), "wide")
-    few = max(1, bands // 6)
+    few = max(1, bands // 20)
     first = materialise(connected_components(similar_pairs(marks.withColumn("group", F.col("id")), width, bands, range(few), similarity)), "first-groups")
     known = marks.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
     more = similar_pairs(known, width, bands, range(few, bands), similarity)
