@@ -133,8 +133,8 @@ def banding(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, in
     return width, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def wide_bits(text: bytes, size: int, words: int):
-    """``words`` * 64 SimHash bits as an array of 0 and 1: each shingle's hash is mixed with fixed odd constants."""
+def shingle_hashes(text: bytes, size: int):
+    """The hash of every shingle, in the order of the text; a text of up to ``size`` words is one shingle."""
     import numpy as np
     import xxhash
 
@@ -144,7 +144,13 @@ def wide_bits(text: bytes, size: int, words: int):
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(b" ".join(x), 42) for x in zip(*(found[i:] for i in range(size)), strict=False)]
-    h = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def wide_bits(h, words: int):
+    """``words`` * 64 SimHash bits of shingle hashes as an array of 0 and 1: each hash is mixed with fixed odd constants."""
+    import numpy as np
+
     odd = np.array([(p & (2**64 - 1)) | 1 for p in pivots(words)], dtype=np.uint64)
     total = np.zeros(words * 64, dtype=np.int64)
     for at in range(0, len(h), 255):  # 255 rows are summed in bytes without overflow
@@ -157,14 +163,15 @@ def wide_bits(text: bytes, size: int, words: int):
 
 
 def wide_fingerprints(docs: DataFrame, width: int, bands: int, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(id, fp, wide, keys): the first 64 bits, all bits, and an integer of ``width`` bits per band."""
+    """(id, fp, wide, keys, n): the first 64 bits, all bits, an integer of ``width`` bits per band, the number of distinct shingles."""
     import numpy as np
 
     words = math.ceil(width * bands / 64)
     powers = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = np.stack([wide_bits(x, size, words) for x in batch.column(1).cast(pa.binary()).to_pylist()])
+        made = [shingle_hashes(x, size) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        bits = np.stack([wide_bits(h, words) for h in made])
         packed = np.packbits(bits, axis=1, bitorder="little")
         keys = bits[:, : width * bands].reshape(len(bits), bands, width).astype(np.int64) @ powers
         return pa.record_batch(
@@ -173,74 +180,88 @@ def wide_fingerprints(docs: DataFrame, width: int, bands: int, id_col: str = "do
                 pa.array(np.ascontiguousarray(packed[:, :8]).view("<i8")[:, 0]),
                 pa.array([x.tobytes() for x in packed], pa.binary()),
                 pa.array([x.astype("<i4").tobytes() for x in keys], pa.binary()),
+                pa.array([len(np.unique(h)) for h in made], pa.int64()),
             ],
-            names=["id", "fp", "wide", "keys"],
+            names=["id", "fp", "wide", "keys", "n"],
         )
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return map_batches(chosen, run, "id long, fp long, wide binary, keys binary")
+    return map_batches(chosen, run, "id long, fp long, wide binary, keys binary, n long")
+
 
+#: Members of a bucket of up to so many are looked at only if another of them is near in the first 64 bits.
+SMALL_BUCKET = 8
+#: A larger bucket is dealt out as pairs of blocks of about so many members.
+BLOCK = 2048
+
+
+def _whole_groups(batches, by: int):
+    """Columns of a sorted partition's batches in pieces that cut no group of equal values in the first ``by`` columns."""
+    import numpy as np
+
+    held = []
+
+    def joined(parts):
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = []
+        for column in batch.columns:
+            if pa.types.is_binary(column.type):
+                now.append(np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(batch.num_rows, -1))
+            else:
+                now.append(column.to_numpy(zero_copy_only=False))
+        if held and any(held[-1][k][-1] != now[k][0] for k in range(by)):
+            yield joined(held)
+            held = []
+        changes = np.flatnonzero(np.any([x[1:] != x[:-1] for x in now[:by]], axis=0))
+        if len(changes):
+            cut = changes[-1] + 1
+            yield joined([*held, [x[:cut] for x in now]])
+            held = [[x[cut:] for x in now]]
+        else:
+            held.append(now)
+    if held:
+        yield joined(held)
+
+
+def _starts(columns):
+    import numpy as np
 
-#: Up to so many members of a band's bucket are all compared with each other; of a larger one each member is compared with the
-#: bucket's first and with its next members in the order of the fingerprints.
-SMALL_BUCKET = 24
-NEXT = 4
+    return np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in columns], axis=0)])
 
 
-def _bucket_pairs(most_bits: int, pivot_count: int):
-    """Pairs of a sorted partition's buckets, but for those whose rows are known to be of one group."""
+def _meetings(most_bits: int, pivot_count: int):
+    """(id, code) of a sorted partition's buckets: the members that may have a near partner there; code holds band and bucket size."""
     import numpy as np
 
     marks = np.array([p & (2**64 - 1) for p in pivots(pivot_count)], dtype=np.uint64)
 
     def run(batches):
-        # Rows come sorted by bucket; what may belong to the next batch's first bucket is carried over.
-        left, first = None, None
-        for batch in batches:
-            band, key, ids, fp, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            bucket = (band.astype(np.int64) << 32) | key.astype(np.int64)
+        for band, key, ids, fp in _whole_groups(batches, 2):
             fp = fp.view(np.uint64)
-            if left is not None:
-                bucket, ids, fp, group = (np.concatenate(x) for x in zip(left, (bucket, ids, fp, group), strict=True))
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            sizes = np.diff(np.r_[starts, len(bucket)])
-            run_size, run_start = np.repeat(sizes, sizes), np.repeat(starts, sizes)
-            head_id, head_fp, head_group = ids[run_start], fp[run_start], group[run_start]
-            if first is not None:  # the first bucket began in an earlier batch
-                same = bucket == first[0]
-                head_id, head_fp, head_group = (np.where(same, a, b) for a, b in zip(first[1:], (head_id, head_fp, head_group), strict=True))
-                run_size = np.where(same, SMALL_BUCKET + 1, run_size)
+            starts = _starts((band, key))
+            sizes = np.diff(np.r_[starts, len(ids)])
+            size, bucket = np.repeat(sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
+            chosen = size > SMALL_BUCKET
             table_ = np.bitwise_count(fp[:, None] ^ marks).astype(np.int16)
-            out = []
-            n = len(bucket)
-            for step in range(1, min(SMALL_BUCKET, n)):
-                i = np.flatnonzero((bucket[step:] == bucket[:-step]) & ((step <= NEXT) | (run_size[step:] <= SMALL_BUCKET)))
-                if not len(i):
-                    break  # no bucket is longer
-                i = i[group[i] != group[i + step]]
+            for step in range(1, SMALL_BUCKET):
+                i = np.flatnonzero((bucket[step:] == bucket[:-step]) & (size[step:] <= SMALL_BUCKET))
+                i = i[ids[i] != ids[i + step]]
                 i = i[np.abs(table_[i] - table_[i + step]).max(axis=1) <= most_bits]
                 i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= most_bits]
-                out.append((ids[i], ids[i + step]))
-            far = np.flatnonzero(run_size > SMALL_BUCKET)
-            far = far[(group[far] != head_group[far]) & (np.bitwise_count(fp[far] ^ head_fp[far]) <= most_bits)]
-            out.append((head_id[far], ids[far]))
-            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
-            keep = u != v
-            lo, hi = np.minimum(u, v)[keep], np.maximum(u, v)[keep]
-            pairs = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-            size = sizes[-1]
-            tail = slice(n - min(size, SMALL_BUCKET), n)
-            left = (bucket[tail], ids[tail], fp[tail], group[tail])
-            first = (bucket[-1], head_id[-1], head_fp[-1], head_group[-1]) if run_size[-1] > SMALL_BUCKET else None
+                chosen[i] = chosen[i + step] = True
+            code = (size.astype(np.int64) << 16) | band.astype(np.int64)
+            yield pa.record_batch([pa.array(ids[chosen]), pa.array(code[chosen])], names=["id", "code"])
 
     return run
 
 
-def similar_pairs(marks: DataFrame, width: int, bands: int, use: range, similarity: float = 0.8, pivot_count: int = 16) -> DataFrame:
-    """(u, v): ids that meet in one of the bands ``use`` and whose wide fingerprints differ in no more bits than ``similarity``
-    gives. ``marks`` has the group that each id is known to be of; pairs within a group are left out."""
+def meetings(marks: DataFrame, width: int, bands: int, similarity: float = 0.8, pivot_count: int = 16) -> DataFrame:
+    """(id, codes): per id the bands, with their buckets' sizes, in which it may have a near partner."""
     import numpy as np
 
     turned = turned_bits(similarity)
@@ -248,52 +269,128 @@ def similar_pairs(marks: DataFrame, width: int, bands: int, use: range, similari
 
     def explode(batches):
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<i4").reshape(-1, bands)[:, use.start : use.stop]
-            n = batch.num_rows
-            each = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), len(use))) for i in (0, 1, 3))
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<i4")
+            each = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), bands)) for i in (0, 1))
             yield pa.record_batch(
-                [pa.array(np.tile(np.arange(use.start, use.stop, dtype=np.int16), n)), pa.array(keys.reshape(-1)), *each],
-                names=["band", "key", "id", "fp", "group"],
+                [pa.array(np.tile(np.arange(bands, dtype=np.int16), batch.num_rows)), pa.array(keys), *each], names=["band", "key", "id", "fp"]
             )
 
-    rows = marks.select("id", "fp", "keys", "group").where("id is not null").mapInArrow(explode, "band short, key int, id long, fp long, group long")
-    found = (
+    rows = marks.select("id", "fp", "keys").where("id is not null").mapInArrow(explode, "band short, key int, id long, fp long")
+    return (
         rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp", "id")
-        .mapInArrow(_bucket_pairs(most, pivot_count), "u long, v long").distinct()
+        .mapInArrow(_meetings(most, pivot_count), "id long, code long").groupBy("id").agg(F.collect_set("code").alias("codes"))
     )
-    bits = width * bands
-    limit = math.floor(bits * turned)
 
-    def verify(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            differ = np.unpackbits(a ^ b, axis=1, bitorder="little", count=bits).sum(axis=1)
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(differ <= limit))
-
-    wide = marks.select("id", "wide")
-    both = (
-        found.join(wide.select(F.col("id").alias("u"), F.col("wide").alias("a")), "u")
-        .join(wide.select(F.col("id").alias("v"), F.col("wide").alias("b")), "v")
-        .select("u", "v", "a", "b")
+
+def _cells(batches, bands: int, least_size: int):
+    """Each member once per bucket, or once per pair of blocks of a larger one that has the member's own block."""
+    import numpy as np
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, group, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        wide, codes = batch.column(3).to_pylist(), batch.column(5)
+        keys = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").reshape(-1, bands)
+        row = np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        code = codes.flatten().to_numpy(zero_copy_only=False)
+        row, code = row[(code >> 16) >= least_size], code[(code >> 16) >= least_size]
+        band, blocks = code & 0xFFFF, -(-(code >> 16) // BLOCK)
+        own = ((ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % np.maximum(blocks, 1)
+        at = np.repeat(np.arange(len(row)), blocks)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        row, band, own, blocks = row[at], band[at], own[at], blocks[at]
+        cell = np.minimum(own, other) * blocks + np.maximum(own, other)
+        for k in range(0, len(row), 4096):
+            r, part = row[k : k + 4096], slice(k, k + 4096)
+            made = (band[part].astype(np.int16), keys[r, band[part]], cell[part], ids[r], group[r], count[r], np.where(own[part] == other[part], -1, own[part]))
+            yield pa.record_batch(
+                [*map(pa.array, made), pa.array([wide[i] for i in r.tolist()], pa.binary())],
+                names=["band", "key", "cell", "id", "group", "n", "block", "wide"],
+            )
+
+
+def _near_in_cells(limit: int, similarity: float, nearest: int | None):
+    """Pairs of a sorted partition's cells within ``limit`` bits; with ``nearest`` only each member's so many nearest."""
+    import numpy as np
+
+    def run(batches):
+        for band, key, cell, ids, group, n, block, wide in _whole_groups(batches, 3):
+            starts = _starts((band, key, cell))
+            sizes = np.diff(np.r_[starts, len(ids)])
+            size, at = np.repeat(sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
+            out = []
+
+            def may(i, j):
+                # Texts of sizes this far apart cannot be as similar; blocks meet their own members in a cell of their own.
+                return (ids[i] != ids[j]) & (group[i] != group[j]) & ((block[i] < 0) | (block[i] != block[j])) & (
+                    np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+                )
+
+            for step in range(1, SMALL_BUCKET) if nearest is None else ():
+                i = np.flatnonzero((at[step:] == at[:-step]) & (size[step:] <= SMALL_BUCKET))
+                i = i[may(i, i + step)]
+                i = i[np.bitwise_count(wide[i] ^ wide[i + step]).sum(axis=1) <= limit]
+                out.append((ids[i], ids[i + step]))
+            for start, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+                if m <= (SMALL_BUCKET if nearest is None else 1):
+                    continue
+                member, rows = np.arange(start, start + m), max(1, 65536 // m)
+                for k in range(0, m, rows):
+                    one = member[k : k + rows, None]
+                    right = member if nearest else member[k:]
+                    fine = may(one, right)
+                    if nearest is None:
+                        a, b = np.nonzero(fine & (right > one))
+                        i, j = one[a, 0], right[b]
+                        good = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= limit
+                        out.append((ids[i[good]], ids[j[good]]))
+                        continue
+                    differ = np.where(fine, np.bitwise_count(wide[one] ^ wide[right]).sum(axis=2, dtype=np.int64), limit + 1)
+                    for _ in range(nearest):  # of equally near ones the first, so that copies agree on it
+                        best = differ.argmin(axis=1)
+                        found = np.flatnonzero(differ[np.arange(len(one)), best] <= limit)
+                        out.append((ids[one[found, 0]], ids[right[best[found]]]))
+                        differ[np.arange(len(one)), best] = limit + 1
+            if out:
+                u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return run
+
+
+def similar_pairs(met: DataFrame, width: int, bands: int, similarity: float = 0.8, nearest: int | None = None) -> DataFrame:
+    """(u, v): ids of different groups that share a bucket and whose wide fingerprints differ in no more bits than ``similarity``
+    gives. ``met`` has id, group, n, wide, keys, codes. With ``nearest`` only larger buckets are looked at, and each of their
+    members is paired with its nearest ones there; without, all pairs of all buckets are compared."""
+    turned, bits = turned_bits(similarity), 64 * math.ceil(width * bands / 64)
+    limit = math.floor(bits * turned)
+    least_size = 0 if nearest is None else SMALL_BUCKET + 1
+    names = "band short, key int, cell long, id long, group long, n long, block long, wide binary"
+    return (
+        met.select("id", "group", "n", "wide", "keys", "codes").mapInArrow(lambda batches: _cells(batches, bands, least_size), names)
+        .repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell", "id")
+        .mapInArrow(_near_in_cells(limit, similarity, nearest), "u long, v long").distinct()
     )
-    return both.mapInArrow(verify, "u long, v long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group stays: the smallest id. Rows without an id are left alone.
 
     Texts are linked at ``similarity`` of their shingles of ``size`` words, estimated by wide fingerprints (over 1000 bits);
-    groups are what links connect. The first few bands are looked at first, and what they link is a group that the other bands
-    take as known: a large group of near copies is joined once, not once a band.
+    groups are what links connect. In large buckets each text is first linked with its nearest ones, which gives most of a large
+    group; then all pairs of texts of different groups are compared in all buckets.
     """
     width, bands = banding(docs.count(), similarity)
     marks = materialise(wide_fingerprints(docs, width, bands, id_col, text_col, size), "wide")
-    few = max(1, bands // 20)
-    first = materialise(connected_components(similar_pairs(marks.withColumn("group", F.col("id")), width, bands, range(few), similarity)), "first-groups")
-    known = marks.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
-    more = similar_pairs(known, width, bands, range(few, bands), similarity)
+    met = materialise(marks.join(meetings(marks, width, bands, similarity), "id"), "met")
+    links_ = similar_pairs(met.withColumn("group", F.col("id")), width, bands, similarity, nearest=2)
+    first = materialise(connected_components(links_), "first-groups")
+    known = met.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+    more = similar_pairs(known, width, bands, similarity)
     roots = connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     gone = roots.where("node <> root").select(F.col("node").alias("_id"))
     return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")

@@ -129,6 +129,19 @@ def test_near_duplicates_of_five_words(spark):
     assert sorted((x["doc_id"] for x in kept.collect()), key=repr) == [1, 3, 4, None]
 
 
+def test_near_duplicates_of_a_star(spark):
+    r = np.random.default_rng(6)
+    base = [f"w{x}" for x in r.integers(0, 10**6, 404)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2001):  # J 0.84 to the base, 0.70 to each other: only the base links them
+        changed = list(base)
+        for j in r.integers(0, 57, 7) + np.arange(0, 399, 57):
+            changed[j] = f"v{i}x{j}"
+        rows.append((i, " ".join(changed)))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert kept.count() <= 75
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
