@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, materialise, table, whole_text
+from .common import bounded_batches, map_batches, materialise, passing, table, whole_text
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -134,7 +134,7 @@ def banding(rows: int, similarity: float, recall: float = 0.99) -> tuple[int, in
 
 
 def shingle_hashes(text: bytes, size: int):
-    """The hash of every shingle, in the order of the text; a text of up to ``size`` words is one shingle."""
+    """The ascending hashes of the distinct shingles; a text of up to ``size`` words is one shingle."""
     import numpy as np
     import xxhash
 
@@ -144,11 +144,11 @@ def shingle_hashes(text: bytes, size: int):
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(b" ".join(x), 42) for x in zip(*(found[i:] for i in range(size)), strict=False)]
-    return np.array(hashes, dtype=np.uint64)
+    return np.unique(np.array(hashes, dtype=np.uint64))
 
 
 def wide_bits(h, words: int):
-    """``words`` * 64 SimHash bits of shingle hashes as an array of 0 and 1: each hash is mixed with fixed odd constants."""
+    """``words`` * 64 SimHash bits of distinct shingle hashes as an array of 0 and 1: each is mixed with fixed odd constants."""
     import numpy as np
 
     odd = np.array([(p & (2**64 - 1)) | 1 for p in pivots(words)], dtype=np.uint64)
@@ -180,7 +180,7 @@ def wide_fingerprints(docs: DataFrame, width: int, bands: int, id_col: str = "do
                 pa.array(np.ascontiguousarray(packed[:, :8]).view("<i8")[:, 0]),
                 pa.array([x.tobytes() for x in packed], pa.binary()),
                 pa.array([x.astype("<i4").tobytes() for x in keys], pa.binary()),
-                pa.array([len(np.unique(h)) for h in made], pa.int64()),
+                pa.array([len(h) for h in made], pa.int64()),
             ],
             names=["id", "fp", "wide", "keys", "n"],
         )
@@ -377,20 +377,53 @@ def similar_pairs(met: DataFrame, width: int, bands: int, similarity: float = 0.
     )
 
 
+def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, by 64-bit hashes."""
+    import numpy as np
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [shingle_hashes(x, size).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
+
+    def alike(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+    def verify(batches):
+        for batch in batches:
+            keep = [alike(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    bounded_batches(docs.sparkSession, 200)  # two sets a row
+    pairs = materialise(pairs, "candidates")
+    # Only texts of candidates are shuffled, as their hashes.
+    rows = docs.select(F.col(id_col).cast("long").alias("digest"), whole_text(text_col).alias("text")).where("digest is not null")
+    chosen = passing(rows, pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct())
+    sets = materialise(map_batches(chosen.select("digest", "text"), hashed, "id long, shingles binary"), "shingles")
+    both = (
+        pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
+        .join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        .select("u", "v", "a", "b")
+    )
+    return both.mapInArrow(verify, "u long, v long")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group stays: the smallest id. Rows without an id are left alone.
 
-    Texts are linked at ``similarity`` of their shingles of ``size`` words, estimated by wide fingerprints (over 1000 bits);
-    groups are what links connect. In large buckets each text is first linked with its nearest ones, which gives most of a large
+    Texts are linked at ``similarity`` of their sets of shingles of ``size`` words: wide fingerprints (over 1000 bits) give the
+    candidates, the sets decide. Groups are what links connect. In large buckets each text is first linked with its nearest ones, which gives most of a large
     group; then all pairs of texts of different groups are compared in all buckets.
     """
     width, bands = banding(docs.count(), similarity)
     marks = materialise(wide_fingerprints(docs, width, bands, id_col, text_col, size), "wide")
     met = materialise(marks.join(meetings(marks, width, bands, similarity), "id"), "met")
-    links_ = similar_pairs(met.withColumn("group", F.col("id")), width, bands, similarity, nearest=2)
-    first = materialise(connected_components(links_), "first-groups")
+    exact = (docs, id_col, text_col, size, similarity)
+    nearest = similar_pairs(met.withColumn("group", F.col("id")), width, bands, similarity, nearest=2)
+    first = materialise(connected_components(verified_pairs(nearest, *exact)), "first-groups")
     known = met.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
-    more = similar_pairs(known, width, bands, similarity)
+    more = verified_pairs(similar_pairs(known, width, bands, similarity), *exact)
     roots = connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     gone = roots.where("node <> root").select(F.col("node").alias("_id"))
     return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")

@@ -129,6 +129,24 @@ def test_near_duplicates_of_five_words(spark):
     assert sorted((x["doc_id"] for x in kept.collect()), key=repr) == [1, 3, 4, None]
 
 
+def test_near_duplicates_are_alike_in_their_shingles(spark):
+    r = np.random.default_rng(7)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    rows = [(i, " ".join(words(400)) + "\n0 0 0 0 0 0 0" * 200) for i in range(20)]
+    base, odd = words(604), []  # J just under 0.8: 67 to 69 of 600 shingles changed
+    for i in range(60):
+        changed = list(base)
+        for j in range(13):
+            changed[5 + 45 * j] = f"v{i}x{j}"
+        changed[599 - i % 3 :] = [f"z{i}x{k}" for k in range(5 + i % 3)]
+        odd.append((100 + 2 * i, " ".join(f"{i}_{w}" for w in base)))
+        odd.append((101 + 2 * i, " ".join(f"{i}_{w}" for w in changed)))
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows + odd, "doc_id long, text string"))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows + odd}
+    assert all(len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) < 0.8 for k in range(100, 220, 2))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [k for k, _ in rows + odd]
+
+
 def test_near_duplicates_of_a_star(spark):
     r = np.random.default_rng(6)
     base = [f"w{x}" for x in r.integers(0, 10**6, 404)]
