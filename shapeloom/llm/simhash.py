@@ -364,10 +364,10 @@ def _near_in_cells(limit: int, similarity: float, nearest: int | None):
 
 def similar_pairs(met: DataFrame, width: int, bands: int, similarity: float = 0.8, nearest: int | None = None) -> DataFrame:
     """(u, v): ids of different groups that share a bucket and whose wide fingerprints differ in no more bits than ``similarity``
-    gives. ``met`` has id, group, n, wide, keys, codes. With ``nearest`` only larger buckets are looked at, and each of their
+    gives, with four standard deviations added, so that the filter loses almost no pair at it. ``met`` has id, group, n, wide, keys, codes. With ``nearest`` only larger buckets are looked at, and each of their
     members is paired with its nearest ones there; without, all pairs of all buckets are compared."""
     turned, bits = turned_bits(similarity), 64 * math.ceil(width * bands / 64)
-    limit = math.floor(bits * turned)
+    limit = math.floor(bits * turned + 4 * math.sqrt(bits * turned * (1 - turned)))
     least_size = 0 if nearest is None else SMALL_BUCKET + 1
     names = "band short, key int, cell long, id long, group long, n long, block long, wide binary"
     return (

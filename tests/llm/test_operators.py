@@ -147,6 +147,22 @@ def test_near_duplicates_are_alike_in_their_shingles(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [k for k, _ in rows + odd]
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(200):  # 44 of 400 shingles changed: J 0.802
+        base = [f"w{x}" for x in r.integers(0, 10**6, 404)]
+        changed = list(base)
+        for j in (*range(10, 330, 40), 403):
+            changed[j] = f"v{i}x{j}"
+        changed[400:403] = [f"z{i}x{k}" for k in range(3)]
+        a, b = ({tuple(t[k : k + 5]) for k in range(400)} for t in (base, changed))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.81
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 200 <= kept.count() <= 208  # bands alone have a recall of 0.99
+
+
 def test_near_duplicates_of_a_star(spark):
     r = np.random.default_rng(6)
     base = [f"w{x}" for x in r.integers(0, 10**6, 404)]
