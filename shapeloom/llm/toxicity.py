@@ -222,8 +222,14 @@ def learn(
         sample = some if sample is None else sample.unionByName(some)
     # At most toxic_rows + ordinary_rows ids are broadcast.
     texts = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    running = F.sum(F.length("_text")).over(Window.partitionBy("_label").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, 0))
+    # Rows no longer than a row's share of the budget always fit, and of longer ones the shortest first: a huge text pushes no other out.
+    fair = F.when(F.col("_label") == 1, train_chars // 2 // toxic_rows).otherwise(train_chars // 2 // ordinary_rows)
+    by_need = Window.partitionBy("_label").orderBy(F.greatest(F.length("_text"), fair), "_order", "_id")
+    running = F.sum(F.length("_text")).over(by_need.rowsBetween(Window.unboundedPreceding, 0))
     got = texts.withColumn("_sum", running).where(F.col("_sum") <= train_chars // 2).select("_label", "_order", "_text").collect()
+    for value in (0, 1):
+        if sum(r["_label"] == value for r in got) < 3 <= texts.where(F.col("_label") == value).limit(3).count():
+            raise ValueError(f"labelled texts ({label_col} = {value}) are too long to learn from {train_chars} characters")
     got.sort(key=lambda r: (r["_order"], r["_text"]))
     return fit([r["_text"] for r in got if r["_label"] == 1], [r["_text"] for r in got if r["_label"] == 0])
 

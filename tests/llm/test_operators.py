@@ -339,3 +339,12 @@ def test_toxicity(spark):
     assert all(scored[i] == pytest.approx(model.score(t or "")) for i, t in rows) and scored[1000] == scored[1001] < 0.7
     assert toxicity.drop_toxic(docs, model).count() == sum(model.score(t or "") < 0.7 for _, t in rows)
     assert toxicity.learn(docs, known.limit(0)) is None and toxicity.scores(docs, None).first()["score"] == 0.0
+
+
+def test_a_long_text_pushes_no_other_out_of_the_toxicity_fit(spark):
+    rows = [(i, ("vexqulum the house" if i % 2 else "the house of cards") + f" n{i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    long = spark.createDataFrame([(i, t + " the" * 5000 if i % 10 < 2 else t) for i, t in rows], "doc_id long, text string")
+    assert toxicity.learn(long, labels, toxic_rows=60, ordinary_rows=60, train_chars=6000) is not None
+    with pytest.raises(ValueError, match="too long"):
+        toxicity.learn(long, labels, train_chars=20)
