@@ -1,13 +1,13 @@
 """Near duplicates by SimHash fingerprints and pivot distance tables.
 
 A fingerprint's Hamming distances to fixed reference fingerprints (pivots) are computed once. By the triangle inequality two
-fingerprints at distance d differ by at most d in each coordinate, so a pair is discarded as soon as one coordinate differs by
-more; survivors are compared bit by bit.
+fingerprints at distance d differ by at most d in each coordinate: cells of the first pivot's distance are join keys, a pair that
+meets is discarded as soon as one more coordinate differs by more, and survivors are compared bit by bit.
 
-Pairs to look at come from blocks of the fingerprint: at distance d, of ``blocks`` blocks at most d differ, so two linked
-fingerprints agree in all others for some choice of d blocks. Each distinct fingerprint is entered once per choice. What can
-share such a key is bounded by the bits left open (16 of 64 by default), whatever the corpus holds, and equal fingerprints
-are one entry however many documents have them.
+At 64 bits, pivots alone leave too many pairs of a large table (distances lie within some four bits of 32), so blocks of the
+fingerprint are keys besides: at distance d, of ``blocks`` blocks at most d differ, so two linked fingerprints agree in all others
+for some choice of d blocks. What can share such a key is bounded by the bits left open, whatever the corpus holds, and equal
+fingerprints are one entry however many documents have them.
 
 Defined results: a null text is the empty text, whose fingerprint is zero and is linked like any other; null ids take part,
 and a component's id is its smallest id that is not null; repeated rows come out once each; an empty table gives an empty result.
@@ -21,7 +21,7 @@ from functools import reduce
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_batches, materialise, passing, table, whole_text
@@ -76,9 +76,11 @@ def pivots(count: int = 16) -> list[int]:
     return out
 
 
-def pivot_table(fps: DataFrame, count: int = 16) -> DataFrame:
-    """fp with its distance to every pivot."""
-    return fps.select("fp", *(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint").alias(f"d{i}") for i, p in enumerate(pivots(count))))
+def pivot_table(fps: DataFrame, count: int = 9) -> DataFrame:
+    """fp, its distance to the first pivot (near), and those to the other pivots (at most eight) as the bytes of one long (far)."""
+    to = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long") for p in pivots(count)]
+    far = reduce(Column.bitwiseOR, (F.shiftleft(d, 8 * i) for i, d in enumerate(to[1:])))
+    return fps.select("fp", to[0].cast("int").alias("near"), far.alias("far"))
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -91,21 +93,29 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return out
 
 
-def links(fps: DataFrame, distance: int = 2, blocks: int = 8, pivot_count: int = 16) -> DataFrame:
-    """All (u, v) with u < v among the distinct fingerprints in ``fps`` that differ in at most ``distance`` bits."""
-    masks = _masks(blocks, distance)
-    entered = pivot_table(fps, pivot_count).withColumn(
-        "entry", F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
-    ).select("fp", "entry.choice", "entry.key", *(f"d{i}" for i in range(pivot_count)))
-    a, b = entered.alias("a"), entered.alias("b")
-    near = reduce(lambda x, y: x & y, (F.abs(F.col(f"a.d{i}") - F.col(f"b.d{i}")) <= distance for i in range(pivot_count)))
-    same_key = (F.col("a.key") == F.col("b.key")) & (F.col("a.choice") == F.col("b.choice"))
+def links(fps: DataFrame, distance: int = 2, blocks: int = 6, pivot_count: int = 9) -> DataFrame:
+    """All (u, v) with u < v among the distinct fingerprints in ``fps`` that differ in at most ``distance`` bits.
+
+    Join keys are a choice of agreeing blocks, their bits, and a cell of ``distance`` + 1 distances to the first pivot: linked
+    fingerprints are in the same cell or in neighbouring ones, so that one side is entered in its cell and the next. Of pairs that
+    meet, the coordinates discard those that differ by more than ``distance`` in one; the rest are compared bit by bit.
+    """
+    masks, wide = _masks(blocks, distance), distance + 1
+    table_ = pivot_table(fps, pivot_count)
+    choices = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
+    cell = F.floor(F.col("near") / wide).cast("int")
+    own = table_.withColumn("cell", cell).select("fp", "near", "far", "cell", choices.alias("entry")).select("fp", "near", "far", "cell", "entry.choice", "entry.key")
+    more = table_.select("fp", "near", "far", F.explode(F.array(cell, cell + 1)).alias("cell")).select("fp", "near", "far", "cell", choices.alias("entry"))
+    a, b = own.alias("a"), more.select("fp", "near", "far", "cell", "entry.choice", "entry.key").alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("choice", "key", "cell")))
+    # Within a cell each pair is met from both sides; across cells, where b's own cell is one lower, from one.
+    once = (F.col("a.fp") < F.col("b.fp")) | (F.floor(F.col("b.near") / wide) < F.col("a.cell"))
+    byte = lambda c, i: F.shiftright(F.col(c), 8 * i).bitwiseAND(F.lit(255))
+    apart = [F.abs(F.col("a.near") - F.col("b.near")), *(F.abs(byte("a.far", i) - byte("b.far", i)) for i in range(pivot_count - 1))]
+    close = reduce(lambda x, y: x & y, (x <= distance for x in apart))
     verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    return (
-        a.join(b, same_key & (F.col("a.fp") < F.col("b.fp")) & near & verified)
-        .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-        .distinct()
-    )
+    met = a.join(b, same & (F.col("a.fp") != F.col("b.fp")) & once & close & verified)
+    return met.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
@@ -163,7 +173,8 @@ def wide_bits(h, words: int):
 
 
 def wide_fingerprints(docs: DataFrame, width: int, bands: int, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(id, fp, wide, keys, n): the first 64 bits, all bits, an integer of ``width`` bits per band, the number of distinct shingles."""
+    """(id, fp, wide, keys, n, sketch): the first 64 bits, all bits, an integer of ``width`` bits per band, the number of distinct
+    shingles, and the upper halves of the smallest ``SKETCH`` of their hashes."""
     import numpy as np
 
     words = math.ceil(width * bands / 64)
@@ -181,19 +192,22 @@ def wide_fingerprints(docs: DataFrame, width: int, bands: int, id_col: str = "do
                 pa.array([x.tobytes() for x in packed], pa.binary()),
                 pa.array([x.astype("<i4").tobytes() for x in keys], pa.binary()),
                 pa.array([len(h) for h in made], pa.int64()),
+                pa.array([(h[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for h in made], pa.binary()),
             ],
-            names=["id", "fp", "wide", "keys", "n"],
+            names=["id", "fp", "wide", "keys", "n", "sketch"],
         )
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return map_batches(chosen, run, "id long, fp long, wide binary, keys binary, n long")
+    return map_batches(chosen, run, "id long, fp long, wide binary, keys binary, n long, sketch binary")
 
 
 #: Members of a bucket of up to so many are looked at only if another of them is near in the first 64 bits.
 SMALL_BUCKET = 8
 #: A larger bucket is dealt out as pairs of blocks of about so many members.
 BLOCK = 2048
+#: So many of a text's smallest shingle hashes travel with it. Of shorter texts these are all, and similarity is known from them.
+SKETCH = 256
 
 
 def _whole_groups(batches, by: int):
@@ -210,7 +224,9 @@ def _whole_groups(batches, by: int):
             continue
         now = []
         for column in batch.columns:
-            if pa.types.is_binary(column.type):
+            if batch.schema.names[len(now)] == "sketch":
+                now.append(np.array([*column.to_pylist(), b""], dtype=object)[:-1])
+            elif pa.types.is_binary(column.type):
                 now.append(np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(batch.num_rows, -1))
             else:
                 now.append(column.to_numpy(zero_copy_only=False))
@@ -292,7 +308,7 @@ def _cells(batches, bands: int, least_size: int):
         if not batch.num_rows:
             continue
         ids, group, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        wide, codes = batch.column(3).to_pylist(), batch.column(5)
+        wide, codes, sketch = batch.column(3).to_pylist(), batch.column(5), batch.column(6).to_pylist()
         keys = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").reshape(-1, bands)
         row = np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         code = codes.flatten().to_numpy(zero_copy_only=False)
@@ -307,53 +323,107 @@ def _cells(batches, bands: int, least_size: int):
             r, part = row[k : k + 4096], slice(k, k + 4096)
             made = (band[part].astype(np.int16), keys[r, band[part]], cell[part], ids[r], group[r], count[r], np.where(own[part] == other[part], -1, own[part]))
             yield pa.record_batch(
-                [*map(pa.array, made), pa.array([wide[i] for i in r.tolist()], pa.binary())],
-                names=["band", "key", "cell", "id", "group", "n", "block", "wide"],
+                [*map(pa.array, made), pa.array([wide[i] for i in r.tolist()], pa.binary()), pa.array([sketch[i] for i in r.tolist()], pa.binary())],
+                names=["band", "key", "cell", "id", "group", "n", "block", "wide", "sketch"],
             )
 
 
-def _near_in_cells(limit: int, similarity: float, nearest: int | None):
-    """Pairs of a sorted partition's cells within ``limit`` bits; with ``nearest`` only each member's so many nearest."""
+def _within(ids, group, n, block, similarity: float):
+    """Whether members i and j may be alike: of different ids and groups, of sizes that allow it, and not of one block's own cell."""
+    import numpy as np
+
+    def may(i, j):
+        return (ids[i] != ids[j]) & (group[i] != group[j]) & ((block[i] < 0) | (block[i] != block[j])) & (
+            np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        )
+
+    return may
+
+
+class _Sketches:
+    """Whether pairs may be as similar as asked by their sketches; sure but for clashes of 32 bits where these hold all hashes."""
+
+    def __init__(self, n, sketch, similarity: float):
+        self.n, self.sketch, self.similarity, self.sets = n, sketch, similarity, {}
+
+    def set_of(self, i: int) -> frozenset:
+        import numpy as np
+
+        if (found := self.sets.get(i)) is None:
+            self.sets[i] = found = frozenset(np.frombuffer(self.sketch[i], "<u4").tolist())
+        return found
+
+    def may(self, i: int, j: int) -> bool:
+        a, b = self.set_of(i), self.set_of(j)
+        cut = [max(x) for x, k in ((a, i), (b, j)) if self.n[k] > SKETCH]
+        if not cut:
+            both = len(a & b)
+            return both + 1 >= self.similarity * (len(a) + len(b) - both)
+        # Up to the smaller of the largest hashes of cut sets, both sketches are complete: a sample of the union.
+        last = min(cut)
+        both, either = sum(x <= last for x in a & b), sum(x <= last for x in a | b)
+        return both + 1 >= (self.similarity - 4 * math.sqrt(self.similarity * (1 - self.similarity) / either)) * either
+
+    def filter(self, i, j):
+        import numpy as np
+
+        return np.fromiter(map(self.may, i.tolist(), j.tolist()), bool, len(i))
+
+
+def _nearest_in_cells(limit: int, similarity: float):
+    """(u, d, v): for each member of a sorted partition's cells the nearest member of another group there, if within ``limit`` bits."""
     import numpy as np
 
     def run(batches):
-        for band, key, cell, ids, group, n, block, wide in _whole_groups(batches, 3):
+        for band, key, cell, ids, group, n, block, wide, sketch in _whole_groups(batches, 3):
+            may, out = _within(ids, group, n, block, similarity), []
             starts = _starts((band, key, cell))
-            sizes = np.diff(np.r_[starts, len(ids)])
-            size, at = np.repeat(sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
-            out = []
+            for start, m in zip(starts.tolist(), np.diff(np.r_[starts, len(ids)]).tolist(), strict=True):
+                member, rows = np.arange(start, start + m), max(1, 65536 // m)
+                if m < 2 or (group[member] == group[start]).all():
+                    continue
+                for k in range(0, m, rows):
+                    one = member[k : k + rows, None]
+                    differ = np.where(may(one, member), np.bitwise_count(wide[one] ^ wide[member]).sum(axis=2, dtype=np.int64), limit + 1)
+                    best = differ.argmin(axis=1)  # of equally near ones the first, so that copies agree on it
+                    d = differ[np.arange(len(one)), best]
+                    found = np.flatnonzero(d <= limit)
+                    found = found[_Sketches(n, sketch, similarity).filter(one[found, 0], member[best[found]])]
+                    out.append((ids[one[found, 0]], d[found], ids[member[best[found]]]))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "d", "v"])
+
+    return run
 
-            def may(i, j):
-                # Texts of sizes this far apart cannot be as similar; blocks meet their own members in a cell of their own.
-                return (ids[i] != ids[j]) & (group[i] != group[j]) & ((block[i] < 0) | (block[i] != block[j])) & (
-                    np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-                )
 
-            for step in range(1, SMALL_BUCKET) if nearest is None else ():
+def _near_in_cells(limit: int, similarity: float):
+    """(u, v): all pairs of different groups of a sorted partition's cells within ``limit`` bits."""
+    import numpy as np
+
+    def run(batches):
+        for band, key, cell, ids, group, n, block, wide, sketch in _whole_groups(batches, 3):
+            may, alike, out = _within(ids, group, n, block, similarity), _Sketches(n, sketch, similarity), []
+            starts = _starts((band, key, cell))
+            sizes = np.diff(np.r_[starts, len(ids)])
+            size, at = np.repeat(sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
+            for step in range(1, SMALL_BUCKET):
                 i = np.flatnonzero((at[step:] == at[:-step]) & (size[step:] <= SMALL_BUCKET))
                 i = i[may(i, i + step)]
                 i = i[np.bitwise_count(wide[i] ^ wide[i + step]).sum(axis=1) <= limit]
+                i = i[alike.filter(i, i + step)]
                 out.append((ids[i], ids[i + step]))
             for start, m in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if m <= (SMALL_BUCKET if nearest is None else 1):
-                    continue
                 member, rows = np.arange(start, start + m), max(1, 65536 // m)
+                if m <= SMALL_BUCKET or (group[member] == group[start]).all():
+                    continue
                 for k in range(0, m, rows):
-                    one = member[k : k + rows, None]
-                    right = member if nearest else member[k:]
-                    fine = may(one, right)
-                    if nearest is None:
-                        a, b = np.nonzero(fine & (right > one))
-                        i, j = one[a, 0], right[b]
-                        good = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= limit
-                        out.append((ids[i[good]], ids[j[good]]))
-                        continue
-                    differ = np.where(fine, np.bitwise_count(wide[one] ^ wide[right]).sum(axis=2, dtype=np.int64), limit + 1)
-                    for _ in range(nearest):  # of equally near ones the first, so that copies agree on it
-                        best = differ.argmin(axis=1)
-                        found = np.flatnonzero(differ[np.arange(len(one)), best] <= limit)
-                        out.append((ids[one[found, 0]], ids[right[best[found]]]))
-                        differ[np.arange(len(one)), best] = limit + 1
+                    one, right = member[k : k + rows, None], member[k:]
+                    a, b = np.nonzero(may(one, right) & (right > one))
+                    i, j = one[a, 0], right[b]
+                    good = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1) <= limit
+                    i, j = i[good], j[good]
+                    good = alike.filter(i, j)
+                    out.append((ids[i[good]], ids[j[good]]))
             if out:
                 u, v = (np.concatenate(x) for x in zip(*out, strict=True))
                 pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
@@ -362,23 +432,27 @@ def _near_in_cells(limit: int, similarity: float, nearest: int | None):
     return run
 
 
-def similar_pairs(met: DataFrame, width: int, bands: int, similarity: float = 0.8, nearest: int | None = None) -> DataFrame:
+def similar_pairs(met: DataFrame, width: int, bands: int, similarity: float = 0.8, nearest: bool = False) -> DataFrame:
     """(u, v): ids of different groups that share a bucket and whose wide fingerprints differ in no more bits than ``similarity``
-    gives, with four standard deviations added, so that the filter loses almost no pair at it. ``met`` has id, group, n, wide, keys, codes. With ``nearest`` only larger buckets are looked at, and each of their
-    members is paired with its nearest ones there; without, all pairs of all buckets are compared."""
+    gives, with four standard deviations added, so that the filter loses almost no pair at it; sketches discard further. ``met`` has
+    id, group, n, wide, keys, codes, sketch. Without ``nearest`` these are all such pairs of all buckets. With it only larger buckets are looked at, and each row has
+    one pair at most: its nearest partner in all of them."""
     turned, bits = turned_bits(similarity), 64 * math.ceil(width * bands / 64)
     limit = math.floor(bits * turned + 4 * math.sqrt(bits * turned * (1 - turned)))
-    least_size = 0 if nearest is None else SMALL_BUCKET + 1
-    names = "band short, key int, cell long, id long, group long, n long, block long, wide binary"
-    return (
-        met.select("id", "group", "n", "wide", "keys", "codes").mapInArrow(lambda batches: _cells(batches, bands, least_size), names)
+    least_size = SMALL_BUCKET + 1 if nearest else 0
+    names = "band short, key int, cell long, id long, group long, n long, block long, wide binary, sketch binary"
+    cells = (
+        met.select("id", "group", "n", "wide", "keys", "codes", "sketch").mapInArrow(lambda batches: _cells(batches, bands, least_size), names)
         .repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell", "id")
-        .mapInArrow(_near_in_cells(limit, similarity, nearest), "u long, v long").distinct()
-    )
+    )
+    if not nearest:
+        return cells.mapInArrow(_near_in_cells(limit, similarity), "u long, v long").distinct()
+    found = cells.mapInArrow(_nearest_in_cells(limit, similarity), "u long, d long, v long").groupBy("u").agg(F.min(F.struct("d", "v"))["v"].alias("v"))
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, by 64-bit hashes."""
+    """Those of ``pairs``, a written table, whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, by 64-bit hashes."""
     import numpy as np
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -396,7 +470,6 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     bounded_batches(docs.sparkSession, 200)  # two sets a row
-    pairs = materialise(pairs, "candidates")
     # Only texts of candidates are shuffled, as their hashes.
     rows = docs.select(F.col(id_col).cast("long").alias("digest"), whole_text(text_col).alias("text")).where("digest is not null")
     chosen = passing(rows, pairs.select(F.col("u").alias("digest")).union(pairs.select("v")).distinct())
@@ -409,24 +482,46 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str
     return both.mapInArrow(verify, "u long, v long")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group stays: the smallest id. Rows without an id are left alone.
+#: Rounds in which each row is linked with its nearest partner of another group, before all pairs of different groups are compared.
+CONTRACTIONS = 2
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, report: dict | None = None) -> DataFrame:
+    """(node, root) for every id that is linked with another: the groups that links connect, root being the smallest id.
 
     Texts are linked at ``similarity`` of their sets of shingles of ``size`` words: wide fingerprints (over 1000 bits) give the
-    candidates, the sets decide. Groups are what links connect. In large buckets each text is first linked with its nearest ones, which gives most of a large
-    group; then all pairs of texts of different groups are compared in all buckets.
+    candidates, the sets decide. A group of near copies is contracted first, so that it costs a few verified pairs a row and not all
+    of its pairs: in each of the first rounds a row proposes one partner, the nearest of another group in all its larger buckets.
+    Then all pairs of rows of different groups are compared in all buckets, whatever their size. ``report`` gets the pairs verified
+    in each round.
     """
     width, bands = banding(docs.count(), similarity)
     marks = materialise(wide_fingerprints(docs, width, bands, id_col, text_col, size), "wide")
     met = materialise(marks.join(meetings(marks, width, bands, similarity), "id"), "met")
-    exact = (docs, id_col, text_col, size, similarity)
-    nearest = similar_pairs(met.withColumn("group", F.col("id")), width, bands, similarity, nearest=2)
-    first = materialise(connected_components(verified_pairs(nearest, *exact)), "first-groups")
-    known = met.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
-    more = verified_pairs(similar_pairs(known, width, bands, similarity), *exact)
-    roots = connected_components(more.unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
-    gone = roots.where("node <> root").select(F.col("node").alias("_id"))
-    return docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    roots = None
+    for k in range(CONTRACTIONS + 1):
+        known = met.withColumn("group", F.col("id"))
+        if roots is not None:
+            known = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+        candidates = materialise(similar_pairs(known, width, bands, similarity, nearest=k < CONTRACTIONS), f"candidates-{k}")
+        if report is not None:
+            report.setdefault("verified", []).append(candidates.count())
+        links_ = verified_pairs(candidates, docs, id_col, text_col, size, similarity)
+        if roots is not None:
+            links_ = links_.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = materialise(connected_components(links_), f"groups-{k}")
+    return roots
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of ``near_groups`` stays: the smallest id.
+
+    Defined results: a null text is the empty text; a text of up to ``size`` words is one shingle, so equal short texts are one group; rows
+    without an id are left alone; rows that repeat an id go or stay together, linked by any of their texts, and are not told apart;
+    very long texts take part whole; an empty table gives an empty result; extra columns are kept.
+    """
+    gone = near_groups(docs, id_col, text_col, size, similarity).where("node <> root").select(F.col("node").alias("_near_gone"))
+    return docs.join(gone, docs[id_col].cast("long") == gone["_near_gone"], "left_anti")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
