@@ -60,6 +60,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -73,23 +81,19 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(crc32_of(column), F.lit(3)) == 1, F.lit(False))
 
 
-#: Bits of a filter over digests: 2**26 bits, so at most 8 MB are broadcast whatever the data's size.
+#: Most bits of a filter over digests: at most 8 MB are broadcast whatever the data's size, and beyond some 10**8 digests more rows pass.
 FILTER_BITS = 1 << 26
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)) + 1
-
-
 def mark_passing(rows: DataFrame, digests: DataFrame, name: str) -> DataFrame:
-    """Adds a flag: a fixed-size bitmap over ``digests`` lets the row's ``digest`` through. Every member passes, and few others."""
-    bitmap = digests.groupBy(F.bitmap_bucket_number(_slot()).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(_slot())).alias("_bits")
-    )
-    at = F.bitmap_bit_position(_slot())
+    """Adds a flag: a bitmap over ``digests``, sized by their number, lets the row's ``digest`` through. Every member passes, and few others."""
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (64 * digests.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
+    bitmap = digests.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (
-        rows.withColumn("_bucket", F.bitmap_bucket_number(_slot()))
+        rows.withColumn("_bucket", F.bitmap_bucket_number(slot))
         .join(F.broadcast(bitmap), "_bucket", "left")
         .select(*rows.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
     )
@@ -99,6 +103,23 @@ def passing(rows: DataFrame, digests: DataFrame) -> DataFrame:
     return mark_passing(rows, digests, "_passes").where("_passes").drop("_passes")
 
 
+#: A key is hot if it has this share of all rows, so that at most so many of them exist.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side``, which has a key once. Rows of the ``hot`` keys, which are at most ``HOT_KEYS``, stay where they are
+    and meet a broadcast part of ``side``; the others are shuffled."""
+    hot = F.broadcast(hot.select(key))
+    often = rows.join(hot, key, "left_semi").join(F.broadcast(side.join(hot, key, "left_semi")), key, how)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(side, key, how))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The keys of ``counts`` (key, n) that have at least one in ``HOT_KEYS`` of ``total`` rows, and more than ``HOT_KEYS`` rows."""
+    return counts.where(F.col(n) >= max(HOT_KEYS, -(-total // HOT_KEYS))).select(key)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, materialise, passing, table, whole_text
+from .common import bounded_batches, hot_keys, join_hot, map_batches, materialise, passing, table, whole_text
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -121,13 +121,14 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 6, pivot_count: int =
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
     """id_col, fp, component_id for every row of ``docs``."""
     marks = materialise(fingerprints(docs, id_col, text_col, size), "simhash")
-    least = marks.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(links(marks.select("fp").distinct(), distance))
+    least = materialise(marks.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
+    roots = connected_components(links(least.select("fp"), distance))
     grouped = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = materialise(
         grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "components"
     )
-    return marks.join(ids, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    hot = materialise(hot_keys(least, "fp", "rows", marks.count()), "hot")
+    return join_hot(marks, ids, "fp", hot).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def turned_bits(similarity: float) -> float:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, bounded_batches, map_batches, mark_passing, materialise, scratch_path, table, tokenizer_path, whole_text
+from .common import Remembered, bounded_batches, hot_keys, join_hot, map_batches, mark_passing, materialise, scratch_path, table, tokenizer_path, whole_text
 
 _RUN = re.compile(" +[^ ]*")
 _MODELS: dict[str, PieceCounts] = {}
@@ -96,9 +96,8 @@ def token_counts(docs: DataFrame, model: str, cache: DigestCache, id_col: str =
     content = F.replace(text, F.lit("▁"), F.lit(" "))
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
     keys = materialise(rows, "digests")
-    missing = materialise(
-        keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")).join(cache.counts(), "digest", "left_anti"), "misses"
-    )
+    sizes = materialise(keys.groupBy("digest").agg(F.count(F.lit(1)).alias("rows")), "contents")
+    missing = materialise(sizes.join(cache.counts(), "digest", "left_anti"), "misses")
     texts = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("content"))
     texts = mark_passing(mark_passing(texts, missing, "wanted"), missing.where("rows > 1"), "shared").where("wanted")
     alone = texts.where("not shared").select("digest", "content")
@@ -106,7 +105,8 @@ def token_counts(docs: DataFrame, model: str, cache: DigestCache, id_col: str =
     # A row let through by chance is known already; it is counted and dropped here.
     made = map_batches(alone.unionByName(once), encode, "digest binary, n_tokens long").join(missing, "digest", "left_semi")
     cache.append(made)
-    return keys.join(cache.counts(), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    hot = materialise(hot_keys(sizes, "digest", "rows", keys.count()), "hot")
+    return join_hot(keys, cache.counts(), "digest", hot).select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,37 @@ def test_exact_duplicates(spark, docs):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_duplicates_in_batches(spark, tmp_path):
+    index = exact_dedup.LsmIndex(spark, str(tmp_path / "lsm"), fanout=2)
+    r = np.random.default_rng(5)
+    seen = []
+    for k in range(5):
+        rows = [(int(i) if i else None, None if r.random() < 0.1 else " ".join(r.choice(["a", "b", " ", "c\td"], r.integers(0, 4)))) for i in r.integers(0, 1000, 30)]
+        rows += [(2000 - k, "hello" + " " * (k + 1) + "x")]
+        seen += rows
+        got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), index=index).collect()
+        norm = lambda x: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", x or "")
+        want = []
+        for i, x in rows:
+            same = [j for j, y in seen if norm(y) == norm(x)]
+            want.append((i, min((j for j in same if j is not None), default=None), len(same), hashlib.sha256(norm(x).encode()).hexdigest()))
+        assert sorted(((g["doc_id"], g["keep_id"], g["group_size"], g["text_sha256"]) for g in got), key=repr) == sorted(want, key=repr)
+    assert len(index.levels) > 1 and index.old
+    digest = hashlib.sha256(b"hello x").digest()
+    index.compact()
+    assert sum(map(len, index.levels)) == 1
+    assert [(x["id"], x["n"]) for x in index.lookup(digest).collect()] == [(1996, 5)]
+    index.vacuum()
+    assert index.entries().count() == len({norm(x) for _, x in seen}) and not index.old
+
+
+def test_exact_duplicates_keep_columns_of_any_name(spark):
+    rows = [(1, "a b", 7, "p"), (2, "a  b", 8, "q"), (2, "c", 9, None), (2, "c", 9, None)]
+    got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, digest int, _digest string"))
+    assert got.columns == ["doc_id", "text", "digest", "_digest"]
+    assert by_row(got) == [(1, "a b", 7, "p"), (2, "c", 9, None)]
+
+
 def slow_fingerprint(text, size=3):
     words = [w for w in "".join(c.lower() if c.isascii() else c for c in text).replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
     if not words:
