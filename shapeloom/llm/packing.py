@@ -1,20 +1,23 @@
 """Best-fit packing of documents into sequences, with certified bin counts.
 
 Documents are encoded, ended with the end id and cut only if longer than a sequence. Pieces are dealt to partitions of bounded
-size by hash; each partition runs best-fit decreasing and computes a lower bound on its number of bins from dual feasible
-functions. Where bins and bound agree, the partition is certified. As long as the sum of all bins exceeds the bound for the whole
-table, every bin that is not full gives back its documents, and these are dealt anew to fewer partitions and packed again: what
-was the odd rest of one partition meets the rests of others. Lengths are integers up to the capacity, so bounds come from
-histograms of at most ``capacity`` numbers, which is all that the driver sees besides one row per partition.
+size by hash; each partition runs best-fit decreasing. A lower bound on the bins that a partition's pieces need comes from dual
+feasible functions: where bins and bound agree, the partition is certified and keeps its bins for good. Then partitions are taken together,
+four by four, and the bound is computed for what each four hold together. A union whose bins exceed its bound has a gap: its
+partitions exchange the documents of all bins that are not full, and best-fit decreasing is run again over these; the new bins
+stand if they are fewer. Certified unions exchange nothing. It ends when one union holds everything or the bound of the whole table is
+met. Lengths are integers up to the capacity, so bounds come from histograms of at most ``capacity`` numbers a partition; the driver
+sees sums only.
 
 Defined results: a null text is the empty text, whose only token is the end id; null and repeated ids are packed row by row; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; very long texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -102,16 +105,51 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 102
     return rows.mapInArrow(run, "id long, piece int, start long, length long, crc long")
 
 
-def _packed(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
+#: Partitions that are taken together in a round.
+TOGETHER = 4
+_PIECES = "id long, piece int, start long, length long, crc long, salt int"
+_PLACED = _PIECES + ", home int, seq long, offset long, used long"
+
+
+def _number(turn: int, unit, bins):
+    return (turn << 56) + (np.int64(unit) << 24) + bins
+
+
+def _first_packing(rows: DataFrame, parts: int, capacity: int) -> DataFrame:
+    """Pieces dealt to ``parts`` homes, each packed by itself."""
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy()
-        bins, offsets, used = best_fit_decreasing(lengths, capacity)
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        return pdf.assign(bin=bins, offset=offsets, used=used, bound=bound)
+        bins, offsets, used = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
+        return pdf.assign(seq=_number(0, pdf["home"].iloc[0], bins), offset=offsets, used=used)
+
+    dealt = rows.withColumn("home", F.pmod(F.xxhash64("id", "piece", "start", "crc", "salt"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("home").applyInPandas(pack, _PLACED)
 
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "id", "piece", "start", "crc", "salt"), F.lit(parts)).cast("int"))
-    schema = "id long, piece int, start long, length long, crc long, salt int, part int, bin long, offset long, used long, bound long"
-    return dealt.groupBy("part").applyInPandas(pack, schema)
+
+def _exchanged(rows: DataFrame, turn: int, homes: int, shards: int, capacity: int) -> DataFrame:
+    """The bins of each union packed anew if that makes fewer. A union of more rows than one task should hold is dealt in ``shards``,
+    whole bins at a time."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins, offsets, used = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
+        unit = pdf["unit"].iloc[0]
+        if bins.max() + 1 < (pdf["offset"] == 0).sum():
+            pdf = pdf.assign(seq=_number(turn, unit, bins), offset=offsets, used=used)
+        return pdf.drop(columns=["unit"])
+
+    unit = F.col("union") + F.lit(homes) * F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int")
+    return rows.withColumn("unit", unit).drop("union").groupBy("unit").applyInPandas(pack, _PLACED)
+
+
+def _bounds(histograms: DataFrame, capacity: int) -> DataFrame:
+    """(union, bound) from (union, length, n)."""
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(capacity + 1, np.int64)
+        np.add.at(counts, pdf["length"].to_numpy(), pdf["n"].to_numpy())
+        return pd.DataFrame({"union": [pdf["union"].iloc[0]], "bound": [lower_bound(counts, capacity)]})
+
+    return histograms.groupBy("union").applyInPandas(bound, "union int, bound long")
 
 
 def pack_documents(
@@ -122,48 +160,41 @@ def pack_documents(
     # A row that repeats an id and a text is told apart by the place where it was made, so that copies spread over partitions.
     made = pieces(docs, tokenizer, end_id, capacity, id_col, text_col).withColumn("salt", F.spark_partition_id())
     left = materialise(made, "pieces")
-    columns = left.columns
-    counted = left.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per length: at most ``capacity``
-    histogram = np.zeros(capacity + 1, np.int64)
-    for r in counted:
-        histogram[r["length"]] = r["n"]
-    goal, rows = lower_bound(histogram, capacity), int(histogram.sum())
-    done, closed, turn, total, rounds = [], 0, 0, None, []
-    parts = 0
-    while rows:
-        # Fewer partitions each time, so that rests meet; never more than four times ``part_rows`` rows in one.
-        wanted = math.ceil(rows / part_rows)
-        parts = wanted if not parts or wanted < parts else max(math.ceil(wanted / 4), parts // 2, 1)
-        packed = materialise(_packed(left, parts, turn, capacity), f"round-{turn}")
-        stats = packed.groupBy("part").agg(
-            (F.max("bin") + 1).alias("bins"), F.max("bound").alias("bound"), F.count(F.lit(1)).alias("rows"),
-            F.count_if((F.col("used") == capacity) & (F.col("offset") == 0)).alias("full"), F.count_if(F.col("used") < capacity).alias("open_rows"),
-        ).collect()  # a row per partition of part_rows rows
-        bins, full, rest = (sum(r[k] for r in stats) for k in ("bins", "full", "open_rows"))
-        gap = sum(r["bins"] > r["bound"] for r in stats)
-        rounds.append({"partitions": parts, "bins": closed + bins, "uncertified": gap})
-        better = total is None or closed + bins < total
-        if not better:  # the exchange won nothing: the round before stands
-            done.append(previous)
-            break
-        total = closed + bins
-        if total == goal or parts == 1:
-            done.append(packed.withColumn("turn", F.lit(turn)))
+    rows = left.count()
+    homes = max(1, math.ceil(rows / part_rows))
+    now = materialise(_first_packing(left, homes, capacity), "round-0")
+    histograms = materialise(now.groupBy("home", "length").agg(F.count(F.lit(1)).alias("n")), "histograms")
+    goal = _bounds(histograms.select(F.lit(0).alias("union"), "length", "n").groupBy("union", "length").agg(F.sum("n").alias("n")), capacity).first()
+    goal = goal["bound"] if goal else 0
+    # Every bin has one piece at its beginning, so bins are counted by those.
+    bins = materialise(now.where("offset = 0").groupBy("home").agg(F.count(F.lit(1)).alias("bins")), "bins-0")
+    done, step, turn, rounds = [], 1, 0, []
+    total = bins.agg(F.sum("bins")).first()[0] or 0
+    while True:
+        # Round 0 has one home a union: it says which homes are certified. Later rounds have TOGETHER times as many each.
+        union = lambda c, step=step: F.floor(F.col(c) / step).cast("int")
+        bound = _bounds(histograms.groupBy(union("home").alias("union"), "length").agg(F.sum("n").alias("n")), capacity)
+        held = bins.groupBy(union("home").alias("union")).agg(F.sum("bins").alias("bins"))
+        gaps = materialise(bound.join(held, "union").where("bins > bound").select("union"), f"gaps-{turn}")
+        rounds.append({"unions": math.ceil(homes / step), "bins": total, "uncertified": gaps.count()})
+        if turn and rounds[-1]["uncertified"]:
+            marked = now.withColumn("union", union("home")).join(gaps.withColumn("gap", F.lit(True)), "union", "left")
+            moves = (F.col("used") < capacity) & F.coalesce("gap", F.lit(False))
+            done.append(marked.where(~moves).select(now.columns))
+            moving = marked.where(moves).drop("gap")
+            most = moving.groupBy("union").count().agg(F.max("count")).first()[0] or 0
+            shards = max(1, math.ceil(most / (TOGETHER * part_rows)))
+            now = materialise(_exchanged(moving, turn, math.ceil(homes / step), shards, capacity), f"round-{turn}")
+            counted = [x.where("offset = 0").groupBy("home").agg(F.count(F.lit(1)).alias("bins")) for x in (*done, now)]
+            bins = materialise(reduce(DataFrame.unionByName, counted).groupBy("home").agg(F.sum("bins").alias("bins")), f"bins-{turn}")
+            total = bins.agg(F.sum("bins")).first()[0] or 0
+        if total == goal or step >= homes:
             break
-        done.append(packed.where(F.col("used") == capacity).withColumn("turn", F.lit(turn)))
-        previous = packed.where(F.col("used") < capacity).withColumn("turn", F.lit(turn))
-        left, rows, closed, turn = packed.where(F.col("used") < capacity).select(*columns), rest, closed + full, turn + 1
+        step, turn = step * TOGETHER, turn + 1
     if report is not None:
-        report |= {"bins": total or 0, "bound": goal, "rounds": rounds}
-    if not done:
-        done = [_packed(left, 1, 0, capacity).withColumn("turn", F.lit(0))]
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    number = F.shiftleft(F.col("turn").cast("long"), 56) + F.shiftleft(F.col("part").cast("long"), 24) + F.col("bin")
-    return out.select(
-        F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), number.alias("sequence_id"), "offset"
-    )
+        report |= {"bins": total, "bound": goal, "rounds": rounds}
+    out = reduce(DataFrame.unionByName, [*done, now])
+    return out.select(F.col("id").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("seq").alias("sequence_id"), "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ is checked), follows the map to the stream, checks continuity counters and reass
 wrong table or a short unit is an error.
 
 Defined results: a null text is the empty text, stored as one block of spaces; null and repeated ids come out row by row;
-equal texts give equal bytes; an empty table gives an empty result; extra columns are ignored.
+equal texts give equal bytes; very long texts are one long stream; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,6 +93,7 @@ class Unit(NamedTuple):
     data: bytes
     ticks: int
     random_access: bool
+    packet: int
 
 
 class Demuxed(NamedTuple):
@@ -118,7 +119,7 @@ def demux(stream: bytes) -> Demuxed:
     counters: dict[int, int] = {}
     parts: list[bytes] = []
     units: list[Unit] = []
-    jump = False
+    jump, first = False, 0
 
     def close() -> None:
         if not parts:
@@ -128,7 +129,7 @@ def demux(stream: bytes) -> Demuxed:
         if prefix >> 8 != 1 or length != len(pes) - 6 or not flags & 0x80:
             raise ValueError("a unit is incomplete")
         a, b, c = struct.unpack(">BHH", pes[9:14])
-        units.append(Unit(pes[9 + extra :], (a & 0x0E) << 29 | (b & 0xFFFE) << 14 | c >> 1, jump))
+        units.append(Unit(pes[9 + extra :], (a & 0x0E) << 29 | (b & 0xFFFE) << 14 | c >> 1, jump, first))
         parts.clear()
 
     for at in range(0, len(stream), PACKET):
@@ -163,7 +164,7 @@ def demux(stream: bytes) -> Demuxed:
         elif this == pid:
             if head & 0x4000:
                 close()
-                jump = random_access
+                jump, first = random_access, at // PACKET
             parts.append(data)
     close()
     return Demuxed(units, len(stream) // PACKET, pid, kind)
@@ -189,29 +190,31 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(rows, run, f"`{id_col}` long, n_bytes long, media binary")
 
 
-def read_media(stored: DataFrame, id_col: str = "doc_id", units: bool = False) -> DataFrame:
-    """Digests and features of stored streams; with ``units`` also their units as (ticks, random_access, size)."""
+def read_media(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per stored stream, from its bytes: digests and features of the payload, the presentation time of every access unit, and the
+    random-access points as (ticks, packet), the packet that a reader may start from."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for media in batch.column(2).to_pylist():
             found = demux(media)
             payload = b"".join(u.data for u in found.units)
-            jumps = [i for i, u in enumerate(found.units) if u.random_access]
-            feature = f"pid={found.pid};type={found.stream_type};packets={found.packets};units={len(found.units)};random={len(jumps)};last={found.units[-1].ticks};mean={sum(payload) / len(payload):.4f}"
-            table_ = [{"ticks": u.ticks, "random_access": u.random_access, "size": len(u.data)} for u in found.units] if units else None
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, table_)
+            times = [u.ticks for u in found.units]
+            jumps = [{"ticks": u.ticks, "packet": u.packet} for u in found.units if u.random_access]
+            feature = f"pid={found.pid};type={found.stream_type};packets={found.packets};units={len(found.units)};random={len(jumps)};last={times[-1]};mean={sum(payload) / len(payload):.4f}"
+            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, times, jumps)
             for column, x in zip(out, row, strict=True):
                 column.append(x)
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("ticks", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())]))]
-        arrays = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units"]
-        keep = len(names) if units else len(names) - 1
-        return pa.record_batch([batch.column(0), batch.column(1), *arrays[:keep]], names=[id_col, "n_bytes", *names[:keep]])
-
-    schema = f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    more = ", units array<struct<ticks: long, random_access: boolean, size: int>>" if units else ""
-    return map_batches(stored.select(id_col, "n_bytes", "media"), run, schema + more)
+        point = pa.list_(pa.struct([("ticks", pa.int64()), ("packet", pa.int64())]))
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), point]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"]
+        return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[id_col, "n_bytes", *names])
+
+    schema = (
+        f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "timestamps array<long>, random_access array<struct<ticks: long, packet: long>>"
+    )
+    return map_batches(stored.select(id_col, "n_bytes", "media"), run, schema)
 
 
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,11 +220,19 @@ def test_transport_streams(docs):
         found = transport_stream.demux(stream)
         assert b"".join(u.data for u in found.units) == data and len(stream) % 188 == 0
         assert [u.random_access for u in found.units] == [i % 8 == 0 for i in range(len(found.units))]
+    for i, u in enumerate(found.units):  # tables are before each random-access point, so that a reader may start there
+        if u.random_access:
+            assert [x[:2] for x in transport_stream.demux(stream[188 * (u.packet - 2) :]).units] == [x[:2] for x in found.units[i:]]
     with pytest.raises(ValueError, match="missing"):
         transport_stream.demux(stream[: 188 * 4] + stream[188 * 5 :])
     got = {(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in transport_stream.read_media(transport_stream.with_media(docs)).collect()}
     pad = [(k, x.encode(), transport_stream.padded(x.encode())) for k, x in texts()]
     assert got == {(k, len(x), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) for k, x, p in pad}
+    long = next(r for r in transport_stream.read_media(transport_stream.with_media(docs)).collect() if r["n_bytes"] == 20000)
+    units = -(-long["payload_bytes"] // transport_stream.UNIT_BYTES)
+    assert long["timestamps"] == [k * transport_stream.TICKS for k in range(units)]
+    assert [x["ticks"] for x in long["random_access"]] == long["timestamps"][:: transport_stream.RANDOM_EVERY]
+    assert transport_stream.read_media(transport_stream.with_media(docs.limit(0))).count() == 0
 
 
 def test_packing(docs):
@@ -251,6 +259,21 @@ def test_packing(docs):
     assert packing.pack_documents(docs.limit(0), BYTE).count() == 0
 
 
+def test_certified_partitions_exchange_nothing(spark):
+    texts_ = ["a " * 59] * 40 + [" x" * (k % 37) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    report = {}
+    rows = packing.pack_documents(docs, BYTE, capacity=64, part_rows=30, report=report).collect()
+    assert len(rows) == len(texts_) and len({r["sequence_id"] for r in rows}) == report["bins"] <= report["bound"] + 1
+    assert report["rounds"][0]["bins"] > report["bins"]
+    # Halves of a sequence and one more each: every partition is certified, and no round moves a bin.
+    same = spark.createDataFrame([(k, "a " * 32) for k in range(200)], "doc_id long, text string")
+    report = {}
+    rows = packing.pack_documents(same, BYTE, capacity=64, part_rows=20, report=report).collect()
+    assert {x["uncertified"] for x in report["rounds"]} == {0} and report["bins"] == report["bound"] == 200
+    assert {r["sequence_id"] >> 56 for r in rows} == {0}
+
+
 def test_lower_bounds_and_best_fit():
     r = np.random.default_rng(3)
     for _ in range(30):
