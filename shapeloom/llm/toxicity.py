@@ -1,23 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on windows of toxic text that ordinary text lacks.
-A window is ``window_words`` words with a space at either end, in lower case. It is compressed twice, against the ordinary
-dictionary and against the toxic one put before the same ordinary one, so that the two lengths differ by what the toxic part alone
-explains. Each character is written as ``width`` fixed bytes first: a zstandard match of three or four letters is not worth its
-header otherwise, and lengths come in whole bytes.
+Two zstandard dictionaries are trained apart from each other: one on windows of ordinary text, one on windows of toxic text that
+ordinary text lacks. A window of a text is compressed against each, and the difference of the two lengths says which it is nearer
+to. A window is ``window_words`` words with a space at either end, in lower case. Each character is written as ``width`` fixed bytes
+first, which depend on the character and on its place in the word: a zstandard match of three or four letters is not worth its
+header otherwise, and how a word begins says more than that the same letters are within another.
 
-A document's evidence is its largest difference and the number of its windows over the calibrated threshold; a logistic curve,
-fitted on documents that the dictionaries did not see, turns it into a score, with the best cut at 0.7.
+A document's evidence is the number and the share of its windows whose difference reaches the calibrated threshold, and the
+largest difference; a logistic curve, fitted on documents that the dictionaries did not see, turns it into a score, with the best cut
+at 0.7.
 
 Which windows of a toxic document are toxic is not labelled. Those train the toxic dictionary that have a word, or a beginning of
-a word, which many toxic and hardly any ordinary documents have.
+a word, which is in more toxic than ordinary documents by a test on their numbers, so that a few documents of a smaller language
+count as well as many of a large one.
 
 The fit takes a bounded sample: at most ``toxic_rows`` and ``ordinary_rows`` labelled rows in the order of a hash, and no more
-than ``train_chars`` characters. Scoring reads every window of every text; equal windows of a worker are compressed once.
+than ``train_chars`` characters. Of an ordinary text it trains on evenly spaced windows, ``windows_a_text`` to twice as many.
+Scoring reads every window of every text; equal windows of a worker are compressed once.
 
-Defined results: a null text is the empty text; a text without words has the score of no evidence; with no toxic or no ordinary
-row to learn from every score is 0; null and repeated ids come out row by row; an empty table gives an empty result; extra columns
-are ignored.
+Defined results: a null text is the empty text; a text without words has the score of no evidence; very long texts are scored whole;
+with no toxic or no ordinary row to learn from every score is 0; null and repeated ids come out row by row; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,21 +41,32 @@ from .common import Remembered, bounded_batches, held_out, map_batches, table, w
 WORD = re.compile(r"[^\W_]+")
 BEGINNINGS = (4, 5, 6, 7)
 CUT = 0.7
-ORDINARY_WEIGHT = 5.0
+ORDINARY_WEIGHT = 20.0
 
 
-class _Wide(dict):
-    """Character -> ``width`` bytes (as latin-1 characters), for str.translate."""
+#: Letters further into a word than this are coded alike.
+PLACES = 8
 
-    def __init__(self, width: int):
-        super().__init__()
-        self.width = width
 
-    def __missing__(self, c: int) -> str:
-        code = zlib.crc32(b"x%d" % c) | zlib.crc32(b"y%d" % c) << 32
-        self[c] = out = code.to_bytes(8, "little")[: self.width].decode("latin-1")
+class _Wide(Remembered):
+    """Word -> ``width`` bytes for each character, by the character and its place."""
+
+    def __init__(self, width: int, most: int = 200_000):
+        super().__init__(most)
+        self.width, self.codes = width, {}
+
+    def make(self, word: str) -> bytes:
+        return b"".join([self.codes.get(x) or self.code(x) for x in zip(word, (*range(PLACES), *[PLACES] * len(word)), strict=False)])
+
+    def code(self, x: tuple[str, int]) -> bytes:
+        name = f"{x[1]}{x[0]}".encode()
+        made = zlib.crc32(name) | zlib.crc32(b"y" + name) << 32
+        self.codes[x] = out = made.to_bytes(8, "little")[: self.width]
         return out
 
+    def window(self, words: list[str]) -> bytes:
+        return b" ".join([b"", *map(self.__getitem__, words), b""])
+
 
 def _compressor(content: bytes):
     import zstandard as z
@@ -71,11 +85,16 @@ class _Differences(Remembered):
 
     def __init__(self, toxic: bytes, ordinary: bytes, width: int, most: int):
         super().__init__(most)
-        self.both, self.plain, self.wide = _compressor(toxic + ordinary), _compressor(ordinary), _Wide(width)
+        self.toxic, self.ordinary, self.wide = _compressor(toxic), _compressor(ordinary), _Wide(width)
 
     def make(self, window: str) -> int:
-        data = f" {window} ".translate(self.wide).encode("latin-1")
-        return len(self.plain.compress(data)) - len(self.both.compress(data))
+        data = self.wide.window(window.split(" "))
+        return len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
+
+
+def _features(differences: list[int], threshold: int) -> tuple[float, float, float]:
+    over = sum(d >= threshold for d in differences)
+    return (math.log1p(over), float(max(0, max(differences, default=0) - threshold + 1)), 20 * over / max(1, len(differences)))
 
 
 @dataclass
@@ -87,7 +106,7 @@ class Model:
     width: int = 3
     window_words: int = 1
     threshold: int = 3
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    weights: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
     most: int = field(default=600_000, repr=False)
 
     def __post_init__(self):
@@ -104,14 +123,12 @@ class Model:
         windows = words if k == 1 else [" ".join(words[i : i + k]) for i in range(0, len(words), k)]
         return list(map(self._ready.__getitem__, windows))
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        found = self.differences(text)
-        return (float(max(found)), math.log1p(sum(d >= self.threshold for d in found))) if found else (0.0, 0.0)
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        return _features(self.differences(text), self.threshold)
 
     def score(self, text: str) -> float:
-        a, b, c = self.weights
-        x, y = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, a * x + b * y + c))))
+        z = self.weights[3] + sum(w * x for w, x in zip(self.weights, self.evidence(text), strict=False))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
 def _marks(words: set[str]) -> set[str]:
@@ -121,16 +138,30 @@ def _marks(words: set[str]) -> set[str]:
     return out
 
 
-def contrast(toxic: list[str], ordinary: list[str], least_share: float = 0.04, least_ratio: float = 60.0) -> set[str]:
-    """Words and beginnings of words that ``least_share`` of the toxic texts have, ``least_ratio`` times the share of the ordinary."""
+def contrast(toxic: list[str], ordinary: list[str], least_ratio: float = 20.0, by_chance: float = 20.0) -> set[str]:
+    """Words and beginnings of words that more of the toxic texts have, by a likelihood test that would let about ``by_chance`` of all
+    marks through if labels said nothing, and ``least_ratio`` times the share of the ordinary. A toxic text counts for its words
+    between neighbours that no earlier one had them between, so that copies count once."""
     counts: Counter[str] = Counter()
+    seen: set[tuple[str, ...]] = set()
     for x in toxic:
-        counts.update(_marks(set(WORD.findall(x.lower()))))
-    often = {m: n for m, n in counts.items() if n >= max(4, least_share * len(toxic))}
+        words = ["", *WORD.findall(x.lower()), ""]
+        new = set(zip(words, words[1:], words[2:], strict=False)) - seen
+        seen |= new
+        counts.update(_marks({w for _, w, _ in new}))
+    often = {m: n for m, n in counts.items() if n >= 4}
     there: Counter[str] = Counter()
     for x in ordinary:
         there.update(_marks(set(WORD.findall(x.lower()))) & often.keys())
-    return {m for m, n in often.items() if (n + 0.5) / len(toxic) > least_ratio * (there[m] + 0.5) / len(ordinary)}
+    share, least = len(toxic) / (len(toxic) + len(ordinary)), math.log(max(len(counts), 2) / by_chance)
+
+    def surprise(n: int, other: int) -> float:
+        p = n / (n + other)
+        if p <= share:
+            return 0.0
+        return n * math.log(p / share) + (other * math.log((1 - p) / (1 - share)) if other else 0.0)
+
+    return {m for m, n in often.items() if surprise(n, there[m]) > least and (n + 0.5) / len(toxic) > least_ratio * (there[m] + 0.5) / len(ordinary)}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -152,18 +183,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _best_cut(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """(cut, its worth): of the best cuts the middle of the widest gap. A share of ordinary texts called toxic weighs
     ``ORDINARY_WEIGHT`` times as much as the same share of toxic texts missed, since most texts are ordinary."""
-    values = np.unique(z)
+    values, at = np.unique(z, return_inverse=True)
     if len(values) < 2:
         return float(values[0]) + 1.0, 0.5
     mids = (values[1:] + values[:-1]) / 2
-    right = np.array([((z >= m) & (y == 1)).sum() / max(y.sum(), 1) + ORDINARY_WEIGHT * ((z < m) & (y == 0)).sum() / max((1 - y).sum(), 1) for m in mids])
+    # Shares of toxic texts at or over each cut and of ordinary ones under it, from counts per value.
+    caught = 1 - np.cumsum(np.bincount(at, y, len(values)))[:-1] / max(y.sum(), 1)
+    spared = np.cumsum(np.bincount(at, 1 - y, len(values)))[:-1] / max((1 - y).sum(), 1)
+    right = caught + ORDINARY_WEIGHT * spared
     best = np.flatnonzero(right >= right.max() - 1e-12)
     gaps = (values[1:] - values[:-1])[best]
     return float(mids[best[int(gaps.argmax())]]), float(right.max())
 
 
-def fit(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = (512, 1024, 2048), width: int = 3, window_words: int = 1) -> Model | None:
-    """Train on the first two thirds of either list and calibrate on the rest; the best of ``sizes`` for the toxic part is kept."""
+def fit(
+    toxic: list[str], ordinary: list[str], toxic_bytes: int = 4096, ordinary_bytes: int = 16384, width: int = 3, window_words: int = 1,
+    windows_a_text: int = 30,
+) -> Model | None:
+    """Train on the first two thirds of either list and calibrate on the rest: the best threshold with its curve is kept."""
     import zstandard as z
 
     if len(toxic) < 3 or len(ordinary) < 3:
@@ -175,14 +212,11 @@ def fit(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = (512, 10
         words = WORD.findall(x.lower())
         return [words[i : i + k] for i in range(0, len(words), k)]
 
-    def code(w: list[str]) -> bytes:
-        return f" {' '.join(w)} ".translate(wide).encode("latin-1")
-
-    toxic_windows = [code(w) for x in toxic[:nt] for w in windows(x) if not marks.isdisjoint(_marks(set(w)))] if marks else []
+    toxic_windows = [wide.window(w) for x in toxic[:nt] for w in windows(x) if not marks.isdisjoint(_marks(set(w)))] if marks else []
     ordinary_windows = []
     for x in ordinary[:no]:
         w = windows(x)
-        ordinary_windows += [code(w[i]) for i in range(0, len(w), max(1, len(w) // 30))]
+        ordinary_windows += [wide.window(w[i]) for i in range(0, len(w), max(1, len(w) // windows_a_text))]
 
     def trained(size: int, samples: list[bytes], segment: int) -> bytes:
         try:
@@ -190,23 +224,21 @@ def fit(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = (512, 10
         except z.ZstdError:  # too few samples to train on: they are the dictionary
             return b"".join(list(dict.fromkeys(samples)))[-size:]
 
-    base = trained(16384 * width, ordinary_windows, 12 * width)
-    best: tuple[float, float, Model] | None = None
+    model = Model(
+        trained(toxic_bytes * width, toxic_windows, 8 * width) if toxic_windows else b"", trained(ordinary_bytes * width, ordinary_windows, 12 * width),
+        width, window_words,
+    )
     y = np.r_[np.ones(len(toxic) - nt), np.zeros(len(ordinary) - no)]
-    for size in sizes:
-        model = Model(trained(size * width, toxic_windows, 8 * width) if toxic_windows else b"", base, width, window_words)
-        held = [model.differences(x) for x in toxic[nt:] + ordinary[no:]]
-        top = np.array([max(d, default=0) for d in held], float)
-        cut, _ = _best_cut(top, y)
-        model.threshold = max(1, math.ceil(cut))
-        features = np.c_[top, [math.log1p(sum(v >= model.threshold for v in d)) for d in held]]
-        w = _logistic(features, y)
-        cut, right = _best_cut(features @ w[:2], y)
-        model.weights = (float(w[0]), float(w[1]), math.log(CUT / (1 - CUT)) - cut)
-        margin = float(np.median(top[y == 1]) - np.median(top[y == 0]))
-        if best is None or (right, margin) > best[:2]:
-            best = (right, margin, model)
-    return best[2] if best else None
+    held = [model.differences(x) for x in toxic[nt:] + ordinary[no:]]
+    best: tuple[float, int, tuple] | None = None
+    for threshold in range(1, 16):
+        x = np.array([_features(d, threshold) for d in held])
+        w = _logistic(x, y)
+        cut, right = _best_cut(x @ w[:-1], y)
+        if best is None or right > best[0]:
+            best = (right, threshold, (*map(float, w[:-1]), math.log(CUT / (1 - CUT)) - cut))
+    _, model.threshold, model.weights = best
+    return model
 
 
 def learn(

@@ -395,6 +395,22 @@ def test_toxicity(spark):
     assert toxicity.learn(docs, known.limit(0)) is None and toxicity.scores(docs, None).first()["score"] == 0.0
 
 
+def test_toxic_marks_of_copies_count_once():
+    r = np.random.default_rng(6)
+    plain = [" ".join(f"w{x}" for x in r.integers(0, 500, 30)) for _ in range(300)]
+    copied = "the rareword of a text that was copied"
+    toxic = [f"{a} vexqulum {b}" for a, b in zip(plain[:40], plain[40:80], strict=True)] + [copied] * 40
+    marks = toxicity.contrast(toxic, plain[100:])
+    assert " vexqulum " in marks and " rareword " not in marks
+
+
+def test_dictionaries_are_trained_apart():
+    toxic, ordinary = [f"n{i} vexqulum here n{i}" for i in range(60)], [f"the house n{i} of cards" for i in range(120)]
+    model = toxicity.fit(toxic, ordinary)
+    assert model.toxic and model.ordinary and model.ordinary not in model.toxic
+    assert model.differences("vexqulum house")[0] > 0 > model.differences("vexqulum house")[1]
+
+
 def test_a_long_text_pushes_no_other_out_of_the_toxicity_fit(spark):
     rows = [(i, ("vexqulum the house" if i % 2 else "the house of cards") + f" n{i}") for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
