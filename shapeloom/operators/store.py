@@ -36,7 +36,7 @@ class QuadStore:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> QuadStore:
-        return cls(spark.read.parquet(path).select("ord", *_KEY), distinct=True)
+        return cls(spark.read.schema(QUAD).parquet(path).select("ord", *_KEY), distinct=True)
 
     def save(self, path: str, partition_by_predicate: bool = True) -> None:
         """One folder a predicate, subjects sorted within files. Without partitioning, ranges of (predicate, subject)."""
