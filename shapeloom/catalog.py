@@ -5,23 +5,25 @@ Every query lifts whole tables to quads and then frames, flattens or queries the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.codec import identity_codec
 from .functions.terms import RDF_FIRST, RDF_NIL, RDF_REST, XSD_DOUBLE, XSD_INTEGER, iri_col, literal_col, named, term_text_col
 from .operators.flatten import flatten
 from .operators.frame import frame
 from .operators.lift import lift
-from .operators.paths import reach
+from .operators.paths import reach, shared_folder
 from .operators.query import execute, generate_query
 from .operators.store import QuadStore
 from .plans.shapes import (
-    Shape, ShapeBuilder, Vocabulary, alternative, computed, defines_type, inverse, inverse_property, property_, reference, self_, sequence, transient, zero_or_more,
+    Shape, ShapeBuilder, Vocabulary, alternative, computed, defines_type, inverse, inverse_property, one_or_more, property_, reference, self_, sequence, transient, zero_or_more, zero_or_one,
 )
-from .sources.rdf_text import ntriples_lines
+from .sources.rdf_text import ntriples_lines, parse_turtle, quads_frame, quads_of, read_ntriples, read_sparql_json, turtle_text, write_ntriples
 
 D, V = "urn:d:", "urn:v:"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,3 +296,199 @@ def store_candidates(spark, sf):
 @query("""SELECT '<urn:d:customer/' || c_custkey || '> <urn:v:name> "' || c_name || '"^^<http://www.w3.org/2001/XMLSchema#string> .' AS line FROM customer""")
 def sink_ntriples(spark, sf):
     return ntriples_lines(customer_quads(spark, sf).where(F.col("p") == V + "name")).withColumnRenamed("value", "line")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _pairs(spark, quads, starts, path):
+    return reach(spark, quads, starts, path).select(F.col("start.value").alias("start"), F.col("term.value").alias("node"))
+
+
+def _customers(spark, sf):
+    return customer_quads(spark, sf).where(F.col("p") == V + "key").select(F.col("s").alias("term"))
+
+
+@query("""SELECT 'urn:d:customer/' || c_custkey AS start, x.node FROM customer JOIN nation ON c_nationkey = n_nationkey,
+LATERAL (SELECT unnest(['urn:d:nation/' || n_nationkey, 'urn:d:region/' || n_regionkey]) AS node) x""")
+def path_one_or_more(spark, sf):
+    return _pairs(spark, union(customer_quads(spark, sf), nation_quads(spark, sf)), _customers(spark, sf), one_or_more(alternative(V + "nation", V + "region")))
+
+
+@query("""SELECT 'urn:d:customer/' || c_custkey AS start, x.node FROM customer,
+LATERAL (SELECT unnest(['urn:d:customer/' || c_custkey, 'urn:d:nation/' || c_nationkey]) AS node) x""")
+def path_zero_or_one(spark, sf):
+    return _pairs(spark, customer_quads(spark, sf), _customers(spark, sf), zero_or_one(V + "nation"))
+
+
+@query("SELECT DISTINCT 'urn:d:region/' || n_regionkey AS start, 'urn:d:customer/' || c_custkey AS node FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def path_inverse_sequence(spark, sf):
+    regions = region_quads(spark, sf).select(F.col("s").alias("term")).distinct()
+    return _pairs(spark, union(customer_quads(spark, sf), nation_quads(spark, sf)), regions, inverse(sequence(V + "nation", V + "region")))
+
+
+@query("SELECT 'urn:d:customer/' || c_custkey AS s FROM customer WHERE c_nationkey = 7")
+def store_semi(spark, sf):
+    """Exact membership of many quads at once: what the store does not have is left out."""
+    customers = customer_quads(spark, sf)
+    asked = customers.where((F.col("p") == V + "nation") & (F.col("o.value") == D + "nation/7"))
+    return QuadStore(customers, distinct=True).semi(union(asked, nation_quads(spark, sf))).select(F.col("s.value").alias("s"))
+
+
+@query("SELECT 'urn:d:customer/' || c_custkey AS s, c_mktsegment AS o FROM customer")
+def store_saved(spark, sf):
+    """A store laid out by predicate, read back, one predicate matched."""
+    path = _scratch(spark, "store")
+    QuadStore(customer_quads(spark, sf), distinct=True).save(path)
+    return QuadStore.load(spark, path).match(p=V + "segment").select(F.col("s.value").alias("s"), F.col("o.value").alias("o"))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey = 2")
+def store_graphs(spark, sf):
+    """Each region's nations are a graph of their own; one graph is matched."""
+    nations = nation_quads(spark, sf)
+    regions = nations.where(F.col("p") == V + "region").select(F.col("s.value").alias("_s"), F.col("o").alias("_g"))
+    placed = nations.join(regions, F.col("s.value") == F.col("_s")).select("ord", "s", "p", "o", F.col("_g").alias("g"))
+    store = QuadStore(placed)
+    return store.match(p=V + "name", g=named(D + "region/2")).select(F.col("o.value").alias("name"))
+
+
+@query("SELECT 5::BIGINT AS regions, 0::BIGINT AS cleared, true AS has_asia, false AS has_mars FROM (SELECT 1)")
+def store_probes(spark, sf):
+    store = QuadStore(region_quads(spark, sf))
+    asia = store.match(p=V + "name").where(F.col("o.value") == "ASIA").select("o.value").first()
+    return spark.range(1).select(
+        F.lit(sum(q.p == V + "name" for q in store)).cast("long").alias("regions"), F.lit(store.clear().size()).cast("long").alias("cleared"),
+        F.lit(asia is not None and store.has_matches(p=V + "name")).alias("has_asia"), F.lit(store.has_matches(s=named(D + "region/mars"))).alias("has_mars"),
+    )
+
+
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation")
+def source_turtle(spark, sf):
+    """A graph written as Turtle and parsed again."""
+    b, integer, _, text, kind = _kit()
+    again = quads_frame(spark, parse_turtle(turtle_text(quads_of(nation_quads(spark, sf)), {"v": V, "d": D})))
+    return _record(b.record(t=kind("Nation"), key=property_(integer(), V + "key"), name=property_(text(), V + "name")), again)
+
+
+@query("SELECT c_custkey AS key, c_name AS name FROM customer")
+def source_sparql_json(spark, sf):
+    """Select results in several JSON files, each a document of its own."""
+    b, integer, _, text, _ = _kit()
+    quads = customer_quads(spark, sf).where(F.col("p").isin(V + "key", V + "name"))
+    node = lambda c: F.when(c["kind"] == 0, F.struct(F.lit("uri").alias("type"), c["value"].alias("value"), F.lit(None).cast("string").alias("datatype"))).otherwise(F.struct(F.lit("literal").alias("type"), c["value"].alias("value"), c["datatype"].alias("datatype")))
+    binding = F.struct(node(F.col("s")).alias("subject"), F.struct(F.lit("uri").alias("type"), F.col("p").alias("value")).alias("predicate"), node(F.col("o")).alias("object"))
+    # One document holds at most a few hundred bindings: customers of one remainder of their quads' places.
+    files = quads.groupBy(F.pmod(F.xxhash64("s"), F.greatest(F.lit(4), F.lit(quads.count() // 200))).alias("part")).agg(F.collect_list(binding).alias("bindings"))
+    path = _scratch(spark, "results")
+    parts = max(1, files.count())
+    files.select(F.to_json(F.struct(F.struct("bindings").alias("results"))).alias("value")).repartition(min(parts, 8)).write.text(path, lineSep="\n")
+    # A file of several documents is read line by line; documents here have no line ends.
+    rows = spark.read.text(path).select("value")
+    single = _scratch(spark, "documents")
+    rows.write.option("maxRecordsPerFile", 1).text(single)
+    return _record(b.record(key=property_(integer(), V + "key"), name=property_(text(), V + "name")), read_sparql_json(spark, single))
+
+
+@query("SELECT doc_id AS doc_id, text FROM documents WHERE text IS NOT NULL")
+def source_ntriples(spark, sf):
+    """Texts with every kind of character, written as N-Triples and read again."""
+    docs = _read(spark, sf, "documents").select("doc_id", "text")
+    path = _scratch(spark, "triples")
+    write_ntriples(lift(docs, _iri("doc", "doc_id"), {V + "text": "text"}), path)
+    return read_ntriples(spark, path).select(F.regexp_extract("s.value", "([0-9]+)$", 1).cast("long").alias("doc_id"), F.col("o.value").alias("text"))
+
+
+@query("SELECT c_name AS name, 'http://www.w3.org/2001/XMLSchema#double' AS datatype, 'urn:d:nation/' || c_nationkey AS nation FROM customer")
+def frame_identity(spark, sf):
+    """Framed terms as they are, without conversion."""
+    b, _, double, text, _ = _kit()
+    s = b.record(name=property_(text(), V + "name"), balance=property_(double(), V + "acctbal"), nation=property_(b.resource(), V + "nation"))
+    rows = frame(customer_quads(spark, sf), s, mode="drop", codec=identity_codec()).values
+    return rows.select(F.col("value.name.value").alias("name"), F.col("value.balance.datatype").alias("datatype"), F.col("value.nation.value").alias("nation"))
+
+
+def _by_predicate(quads: DataFrame) -> DataFrame:
+    short = F.regexp_extract("p", "([A-Za-z]+)$", 1)
+    return quads.groupBy(short.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("subjects"))
+
+
+@query("""SELECT x.p, x.n, x.subjects FROM (SELECT count(*) AS t, count(DISTINCT conv_id) AS c FROM conversations) s,
+LATERAL (VALUES ('id', c, c), ('turns', c, c), ('first', t, t), ('rest', t, t)) x(p, n, subjects)""")
+def flatten_list(spark, sf):
+    b, integer, _, text, _ = _kit()
+    s = b.record(conv_id=property_(integer(), V + "id"), turns=property_(b.list_of(text()), V + "turns"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    values = _read(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(F.struct("conv_id", "turns").alias("value"))
+    return _by_predicate(flatten(values, s))
+
+
+@query("""SELECT x.p, x.n, x.subjects FROM (SELECT count(*) AS t, count(DISTINCT conv_id) AS c FROM conversations) s,
+LATERAL (VALUES ('id', c, c), ('of', t, t), ('turn', t, t), ('role', t, t)) x(p, n, subjects)""")
+def flatten_map(spark, sf):
+    b, integer, _, text, _ = _kit()
+    key, value = text(), text()
+    item = b.record(k=property_(key, V + "turn"), v=property_(value, V + "role"))
+    s = b.record(conv_id=property_(integer(), V + "id"), turns=inverse_property(V + "of", b.map_of(reference(key), reference(value), item)))
+    turns = F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), "role")))
+    values = _read(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select(F.struct("conv_id", "turns").alias("value"))
+    return _by_predicate(flatten(values, s))
+
+
+@query("""SELECT x.p, x.n, x.subjects FROM (SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS t) s, LATERAL (VALUES ('type', t, t), ('name', t, t), ('acctbal', t, t)) x(p, n, subjects)""")
+def flatten_any_of(spark, sf):
+    b, _, double, text, _ = _kit()
+    kinds = Vocabulary({"customer": V + "Customer", "supplier": V + "Supplier"})
+    one = lambda k: b.record(kind=defines_type(b.from_vocabulary(k, kinds)), name=property_(text(), V + "name"), amount=property_(double(), V + "acctbal"))
+    shape = b.any_of(one("customer"), one("supplier"))
+    rows = [_read(spark, sf, t).select(F.lit(t).alias("kind"), F.col(f"{c}_name").alias("name"), F.col(f"{c}_acctbal").alias("amount")) for t, c in (("customer", "c"), ("supplier", "s"))]
+    return _by_predicate(flatten(union(*rows).select(F.struct("kind", "name", "amount").alias("value")), shape))
+
+
+@query("""SELECT x.p, x.n, x.subjects FROM (SELECT count(*) AS t, count(DISTINCT lang) AS u FROM documents) s,
+LATERAL (VALUES ('lang', (SELECT count(lang) FROM documents), (SELECT count(lang) FROM documents)), ('origin', t, t), ('maker', t, t)) x(p, n, subjects)""")
+def flatten_transient(spark, sf):
+    """Constants of a transient record, an optional literal, and a blank node for each of many equal values."""
+    b, _, _, text, _ = _kit()
+    origin = b.record(maker=property_(b.literal(value="generated"), V + "maker"))
+    s = b.record(lang=property_(b.optional(text()), V + "lang"), origin=transient(property_(origin, V + "origin")))
+    return _by_predicate(flatten(_read(spark, sf, "documents").select(F.struct("lang").alias("value")), s))
+
+
+def _rows(found: DataFrame) -> DataFrame:
+    return found.select(F.col("s.value").alias("s"), F.col("p"), F.col("o.value").alias("o"))
+
+
+@query("""SELECT 'urn:d:customer/' || c_custkey AS s, x.p, x.o FROM customer, LATERAL (VALUES ('urn:v:name', c_name), ('urn:v:segment', c_mktsegment)) x(p, o)
+UNION ALL SELECT 'urn:d:supplier/' || s_suppkey, x.p, x.o FROM supplier, LATERAL (VALUES ('urn:v:name', s_name), ('urn:v:basedIn', 'urn:d:nation/' || s_nationkey)) x(p, o)""")
+def query_union(spark, sf):
+    b, _, _, text, _ = _kit()
+    customer = b.record(name=property_(text(), V + "name"), segment=property_(text(), V + "segment"))
+    supplier = b.record(name=property_(text(), V + "name"), based=property_(b.resource(), V + "basedIn"))
+    return _rows(execute(generate_query(b.any_of(customer, supplier)), union(customer_quads(spark, sf), supplier_quads(spark, sf))))
+
+
+@query("""SELECT x.p, x.n, x.subjects FROM (SELECT count(*) AS t, count(DISTINCT conv_id) AS c FROM conversations) s,
+LATERAL (VALUES ('id', c, c), ('turns', c, c), ('first', t, t), ('rest', t, t)) x(p, n, subjects)""")
+def query_list(spark, sf):
+    b, integer, _, text, _ = _kit()
+    s = b.record(conv_id=property_(integer(), V + "id"), turns=property_(b.list_of(text()), V + "turns"))
+    return _by_predicate(execute(generate_query(s), _turns(spark, sf)))
+
+
+@query("SELECT 'name' AS p, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS subjects UNION ALL SELECT 'region', count(*), count(*) FROM nation")
+def query_recursive(spark, sf):
+    """Regions have nations, which have regions: the query's hop to every region that is reached through itself."""
+    b, _, _, text, _ = _kit()
+    b.record(id="urn:shape:nation", name=property_(text(), V + "name"), region=property_("urn:shape:region", V + "region"))
+    s = b.record(id="urn:shape:region", name=property_(text(), V + "name"), nations=inverse_property(V + "region", b.set_of("urn:shape:nation")))
+    return _by_predicate(execute(generate_query(s), union(nation_quads(spark, sf), region_quads(spark, sf))))
+
+
+@query("SELECT 'urn:d:region/' || r_regionkey AS s, 'urn:v:name' AS p, r_name AS o FROM region WHERE r_regionkey = 2")
+def query_fixed_subject(spark, sf):
+    """A shape whose node can be one IRI only is asked for by that IRI."""
+    b, _, _, text, _ = _kit()
+    s = b.record(node=self_(b.resource(value=D + "region/2")), name=property_(text(), V + "name"))
+    return _rows(execute(generate_query(s), region_quads(spark, sf)))

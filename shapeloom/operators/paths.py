@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from ..plans.shapes import Path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the plan between rounds, in the folder that spark.checkpoint.dir names (one of its own only in local mode)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names (one of its own only in local mode)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not configured and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="shapeloom-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the plan between rounds, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

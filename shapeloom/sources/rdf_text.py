@@ -182,7 +182,8 @@ def quads_of(df: DataFrame) -> list[Quad]:
 
 
 _NODE = r"(<[^>]*>|_:[^\s]+)"
-_LITERAL = r'("(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)'
+# A literal ends at the last quote after which the line is whole: no step per character, so that texts may be of any length.
+_LITERAL = r'("[\s\S]*"(?:@[A-Za-z0-9\-]+|\^\^<[^>]*>)?)'
 _LINE = rf"^\s*{_NODE}\s*<([^>]*)>\s*(?:{_NODE}|{_LITERAL})\s*{_NODE}?\s*\.\s*(?:#.*)?$"
 
 
