@@ -50,6 +50,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialise`` gave and that nothing reads any more."""
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/scratch/" in folder:
+            delete_path(df.sparkSession, folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

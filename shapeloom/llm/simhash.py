@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hot_keys, join_hot, map_batches, materialise, passing, table, whole_text
+from .common import bounded_batches, drop_written, hot_keys, join_hot, map_batches, materialise, passing, table, whole_text
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -320,11 +320,13 @@ def _cells(batches, bands: int, least_size: int):
         other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         row, band, own, blocks = row[at], band[at], own[at], blocks[at]
         cell = np.minimum(own, other) * blocks + np.maximum(own, other)
+        # Small buckets have few pairs that are near in all bits; those are verified without sketches, which are not sent.
+        sketched = (code[at] >> 16) > SMALL_BUCKET
         for k in range(0, len(row), 4096):
             r, part = row[k : k + 4096], slice(k, k + 4096)
             made = (band[part].astype(np.int16), keys[r, band[part]], cell[part], ids[r], group[r], count[r], np.where(own[part] == other[part], -1, own[part]))
             yield pa.record_batch(
-                [*map(pa.array, made), pa.array([wide[i] for i in r.tolist()], pa.binary()), pa.array([sketch[i] for i in r.tolist()], pa.binary())],
+                [*map(pa.array, made), pa.array([wide[i] for i in r.tolist()], pa.binary()), pa.array([sketch[i] if s else b"" for i, s in zip(r.tolist(), sketched[part].tolist(), strict=True)], pa.binary())],
                 names=["band", "key", "cell", "id", "group", "n", "block", "wide", "sketch"],
             )
 
@@ -355,6 +357,8 @@ class _Sketches:
         return found
 
     def may(self, i: int, j: int) -> bool:
+        if not self.sketch[i] or not self.sketch[j]:
+            return True
         a, b = self.set_of(i), self.set_of(j)
         cut = [max(x) for x, k in ((a, i), (b, j)) if self.n[k] > SKETCH]
         if not cut:
@@ -411,7 +415,6 @@ def _near_in_cells(limit: int, similarity: float):
                 i = np.flatnonzero((at[step:] == at[:-step]) & (size[step:] <= SMALL_BUCKET))
                 i = i[may(i, i + step)]
                 i = i[np.bitwise_count(wide[i] ^ wide[i + step]).sum(axis=1) <= limit]
-                i = i[alike.filter(i, i + step)]
                 out.append((ids[i], ids[i + step]))
             for start, m in zip(starts.tolist(), sizes.tolist(), strict=True):
                 member, rows = np.arange(start, start + m), max(1, 65536 // m)
@@ -499,6 +502,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width, bands = banding(docs.count(), similarity)
     marks = materialise(wide_fingerprints(docs, width, bands, id_col, text_col, size), "wide")
     met = materialise(marks.join(meetings(marks, width, bands, similarity), "id"), "met")
+    drop_written(marks)  # from here on only rows that may have a partner are read
     roots = None
     for k in range(CONTRACTIONS + 1):
         known = met.withColumn("group", F.col("id"))
