@@ -10,7 +10,7 @@ Positions and words are made by two passes over the input with the same splits.
 the decoded text is held against it, so that an input that came in another order the second time is an error, never a wrong row.
 
 Defined results: a null text is the empty text; null and repeated ids come out row by row; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored; a very long text is a chunk of its own, with any number of distinct words.
 """
 
 from __future__ import annotations
@@ -56,17 +56,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str,
 
 
 def _short(numbers: np.ndarray) -> bytes:
-    """Numbers in seven-bit groups, least first, the top bit set on all but a number's last: common words have small numbers."""
-    out = np.empty((len(numbers), 3), np.uint8)
-    out[:, 0] = numbers & 127
-    out[:, 1] = (numbers >> 7) & 127
-    out[:, 2] = (numbers >> 14) & 127
-    if len(numbers) and int(numbers.max()) >= 1 << 21:
-        raise ValueError("a chunk has more distinct words than its bound")
-    long1, long2 = numbers >= 128, numbers >= 1 << 14
-    out[:, 0] |= long1.astype(np.uint8) << 7
-    out[:, 1] |= long2.astype(np.uint8) << 7
-    return out[np.stack([np.ones(len(numbers), bool), long1, long2], axis=1)].tobytes()
+    """Numbers below 2**32 in seven-bit groups, least first, the top bit set on all but a number's last: common words have small
+    numbers."""
+    wide = np.asarray(numbers).astype(np.int64)
+    there = np.stack([np.ones(len(wide), bool), *(wide >= 1 << 7 * k for k in range(1, 5))], axis=1)
+    groups = np.stack([wide >> 7 * k & 127 for k in range(5)], axis=1).astype(np.uint8)
+    groups[:, :4] |= there[:, 1:].astype(np.uint8) << 7
+    return groups[there].tobytes()
 
 
 def _long(data: bytes) -> np.ndarray:
@@ -74,7 +70,7 @@ def _long(data: bytes) -> np.ndarray:
     ends = np.flatnonzero(b < 128)
     starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
     value = (b[starts] & 127).astype(np.int64)
-    for step in (1, 2):
+    for step in range(1, int((ends - starts).max(initial=0)) + 1):
         more = starts + step <= ends
         value[more] |= (b[starts[more] + step] & 127).astype(np.int64) << (7 * step)
     return value

@@ -42,6 +42,12 @@ def test_units_give_the_library_s_ids():
             assert "".join(UNIT.findall(s)) == s
 
 
+def test_numbers_of_any_size_are_packed():
+    numbers = np.array([0, 1, 127, 128, 2**14 - 1, 2**14, 2**21 - 1, 2**21, 2**28, 2**32 - 1])
+    assert bpe._long(bpe._short(numbers)).tolist() == numbers.tolist() and bpe._short(numbers[:0]) == b""
+    assert len(bpe._long(b"")) == 0
+
+
 def test_bpe_round_trip(docs):
     t = Tokenizer.from_file(BYTE)
     expected = []
