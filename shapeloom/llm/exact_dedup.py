@@ -83,8 +83,9 @@ class LsmIndex:
         """Merge the runs of a level into one of the next: ranges of digests, per key the smallest id and the rows it stands for."""
         merged, self.levels[level] = self.levels[level], []
         self.old += merged
-        ranges = self._read(merged).repartitionByRange("digest").sortWithinPartitions(*self.key)
-        self._write(ranges.groupBy(*self.key).agg(F.min("id").alias("id"), F.sum("n").alias("n")), level + 1)
+        # Tasks merge their own copies before anything is shuffled, so that a key of very many rows sends one row per task.
+        distinct = self._read(merged).groupBy(*self.key).agg(F.min("id").alias("id"), F.sum("n").alias("n"))
+        self._write(distinct.repartitionByRange("digest"), level + 1)
 
     def compact(self) -> None:
         """Merge every level into the next, so that one run is left."""
