@@ -174,33 +174,38 @@ def wide_bits(h, words: int):
 
 
 def wide_fingerprints(docs: DataFrame, width: int, bands: int, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(id, fp, wide, keys, n, sketch): the first 64 bits, all bits, an integer of ``width`` bits per band, the number of distinct
-    shingles, and the upper halves of the smallest ``SKETCH`` of their hashes."""
+    """(id, wide, n, sketch): the bits, the number of distinct shingles, and the upper halves of the smallest ``SKETCH`` of their
+    hashes."""
     import numpy as np
 
     words = math.ceil(width * bands / 64)
-    powers = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingle_hashes(x, size) for x in batch.column(1).cast(pa.binary()).to_pylist()]
         bits = np.stack([wide_bits(h, words) for h in made])
         packed = np.packbits(bits, axis=1, bitorder="little")
-        keys = bits[:, : width * bands].reshape(len(bits), bands, width).astype(np.int64) @ powers
         return pa.record_batch(
             [
                 batch.column(0),
-                pa.array(np.ascontiguousarray(packed[:, :8]).view("<i8")[:, 0]),
                 pa.array([x.tobytes() for x in packed], pa.binary()),
-                pa.array([x.astype("<i4").tobytes() for x in keys], pa.binary()),
                 pa.array([len(h) for h in made], pa.int64()),
                 pa.array([(h[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for h in made], pa.binary()),
             ],
-            names=["id", "fp", "wide", "keys", "n", "sketch"],
+            names=["id", "wide", "n", "sketch"],
         )
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    return map_batches(chosen, run, "id long, fp long, wide binary, keys binary, n long, sketch binary")
+    return map_batches(chosen, run, "id long, wide binary, n long, sketch binary")
+
+
+def band_keys(wide: list[bytes], width: int, bands: int):
+    """Per wide fingerprint an integer of ``width`` bits for each band; they are made where they are used, and not written."""
+    import numpy as np
+
+    packed = np.frombuffer(b"".join(wide), dtype=np.uint8).reshape(len(wide), -1)
+    bits = np.unpackbits(packed, axis=1, bitorder="little")[:, : width * bands].reshape(len(wide), bands, width)
+    return bits.astype(np.int32) @ (1 << np.arange(width, dtype=np.int32))
 
 
 #: Members of a bucket of up to so many are looked at only if another of them is near in the first 64 bits.
@@ -288,20 +293,22 @@ def meetings(marks: DataFrame, width: int, bands: int, similarity: float = 0.8,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<i4")
-            each = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), bands)) for i in (0, 1))
+            wide = batch.column(1).to_pylist()
+            first = np.frombuffer(b"".join(x[:8] for x in wide), dtype="<i8")
+            each = (pa.array(np.repeat(x, bands)) for x in (batch.column(0).to_numpy(zero_copy_only=False), first))
+            keys = band_keys(wide, width, bands).reshape(-1)
             yield pa.record_batch(
                 [pa.array(np.tile(np.arange(bands, dtype=np.int16), batch.num_rows)), pa.array(keys), *each], names=["band", "key", "id", "fp"]
             )
 
-    rows = marks.select("id", "fp", "keys").where("id is not null").mapInArrow(explode, "band short, key int, id long, fp long")
+    rows = marks.select("id", "wide").where("id is not null").mapInArrow(explode, "band short, key int, id long, fp long")
     return (
         rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp", "id")
         .mapInArrow(_meetings(most, pivot_count), "id long, code long").groupBy("id").agg(F.collect_set("code").alias("codes"))
     )
 
 
-def _cells(batches, bands: int, least_size: int):
+def _cells(batches, width: int, bands: int, least_size: int):
     """Each member once per bucket, or once per pair of blocks of a larger one that has the member's own block."""
     import numpy as np
 
@@ -309,8 +316,8 @@ def _cells(batches, bands: int, least_size: int):
         if not batch.num_rows:
             continue
         ids, group, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        wide, codes, sketch = batch.column(3).to_pylist(), batch.column(5), batch.column(6).to_pylist()
-        keys = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<i4").reshape(-1, bands)
+        wide, codes, sketch = batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()
+        keys = band_keys(wide, width, bands)
         row = np.repeat(np.arange(len(ids)), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         code = codes.flatten().to_numpy(zero_copy_only=False)
         row, code = row[(code >> 16) >= least_size], code[(code >> 16) >= least_size]
@@ -439,14 +446,14 @@ def _near_in_cells(limit: int, similarity: float):
 def similar_pairs(met: DataFrame, width: int, bands: int, similarity: float = 0.8, nearest: bool = False) -> DataFrame:
     """(u, v): ids of different groups that share a bucket and whose wide fingerprints differ in no more bits than ``similarity``
     gives, with four standard deviations added, so that the filter loses almost no pair at it; sketches discard further. ``met`` has
-    id, group, n, wide, keys, codes, sketch. Without ``nearest`` these are all such pairs of all buckets. With it only larger buckets are looked at, and each row has
+    id, group, n, wide, codes, sketch. Without ``nearest`` these are all such pairs of all buckets. With it only larger buckets are looked at, and each row has
     one pair at most: its nearest partner in all of them."""
     turned, bits = turned_bits(similarity), 64 * math.ceil(width * bands / 64)
     limit = math.floor(bits * turned + 4 * math.sqrt(bits * turned * (1 - turned)))
     least_size = SMALL_BUCKET + 1 if nearest else 0
     names = "band short, key int, cell long, id long, group long, n long, block long, wide binary, sketch binary"
     cells = (
-        met.select("id", "group", "n", "wide", "keys", "codes", "sketch").mapInArrow(lambda batches: _cells(batches, bands, least_size), names)
+        met.select("id", "group", "n", "wide", "codes", "sketch").mapInArrow(lambda batches: _cells(batches, width, bands, least_size), names)
         .repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell", "id")
     )
     if not nearest:
