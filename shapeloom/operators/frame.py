@@ -8,6 +8,10 @@ where a context has no candidates is known beforehand, so contexts without rows
 A record whose properties are single predicates with leaf values, the common case, is one aggregation over the quads (a pivot)
 with no join at all; other properties add one join each, for the terms that fit the type properties only.
 
+What a plan would use several times is written to the shared folder once, so that plans grow with the number of properties and not
+with a power of the depth: the quads of a shape that is not flat (``stage=False`` leaves that out, for quads that are laid out by
+predicate already), each record's pivot, and the candidates of properties with records, lists or unions in them.
+
 ``mode``: "failfast" raises the first error of a required part; "drop" leaves such roots out and carries no error columns, which
 is the fastest; "permissive" returns values and errors in two frames.
 """
@@ -30,7 +34,7 @@ from ..plans.local import Framer, Graph, as_json
 from ..plans.shapes import (
     SELF, AnyOf, List, Literal, Map, Optional, Path, Property, Record, Reference, Resource, Set, Shape, captured_ids, is_recursive, reachable,
 )
-from .paths import checkpointed, follow, starts
+from .paths import checkpointed, follow, staged, starts
 
 FRAME = "struct<edge: string, shape: string, focus: string>"
 ERR = f"struct<code: int, stack: array<{FRAME}>>"
@@ -56,7 +60,8 @@ class Compiler:
     shapes: dict[str, Shape]
 
     def __init__(self, quads: DataFrame, codec: ValueCodec, errors: bool, captures: list[str]):
-        self.quads, self.codec, self.errors, self.captures = quads, codec, errors, captures
+        self.quads = self.all_quads = quads
+        self.codec, self.errors, self.captures = codec, errors, captures
         self.types: dict[str, T.DataType] = {}
 
     # -- helpers ---------------------------------------------------------------------------------------------------------
@@ -189,7 +194,7 @@ class Compiler:
         n_type = len(shape.type_properties)
         simple = [i for i, (p, _) in enumerate(props) if self.is_simple(p)]
         if terms is None and not simple:
-            q = self.quads
+            q = self.all_quads
             everything = q.select(F.col("s").alias("term"), (F.col("ord") * 2).alias("ord")).unionByName(q.select(F.col("o").alias("term"), (F.col("ord") * 2 + 1).alias("ord")))
             base = everything.groupBy("term").agg(F.min("ord").alias("ord"))
         elif simple:
@@ -203,6 +208,8 @@ class Compiler:
         else:
             base = terms
         rest = [i for i in range(len(props)) if i not in simple]
+        if rest and simple:
+            base = checkpointed(base)  # read once for itself and once for each of the others
         fits = lambda i: (F.col(f"n{i}") == 1) & (F.col(f"b{i}") == 0)
         # Candidates of the other properties are the terms that fit the simple type properties, taken from the first step, so that no
         # property's plan has another's in it.
@@ -272,7 +279,8 @@ class Compiler:
         return self.quads.where(F.col("p").isin(wanted)).groupBy("s").agg(*aggs).withColumnRenamed("s", "term")
 
     def _property(self, p: Property, terms: DataFrame, need: bool, i: int) -> DataFrame:
-        found = self.outcomes(p.shape, follow(self.quads, starts(terms), p.path), need)
+        cands = follow(self.quads, starts(terms), p.path)
+        found = self.outcomes(p.shape, checkpointed(cands) if _reads_twice(p.shape) else cands, need)
         value = F.max_by(F.when(F.col("ok"), F.struct(F.col("value").alias("x"))), F.when(F.col("ok"), F.col("ord")))["x"]
         got = found.groupBy("ctx").agg(*self.gathered(found, ["ctx"]), value.alias("value"))
         return got.select(
@@ -418,10 +426,10 @@ class Compiler:
         most, step = cells.count() + 1, 1
         while step <= most:
             on = same_term(F.col("node"), F.col("a"))
-            more = rows.join(jump, on).select("head", (F.col("pos") + step).alias("pos"), F.col("b").alias("node"))
+            more = checkpointed(rows.join(jump, on).select("head", (F.col("pos") + step).alias("pos"), F.col("b").alias("node")))
             if more.isEmpty():
                 break
-            rows = checkpointed(rows.unionByName(more))
+            rows = rows.unionByName(more)  # of what was written, one part a round
             j1, j2 = jump.alias("j1"), jump.alias("j2")
             jump = checkpointed(j1.join(j2, same_term(F.col("j1.b"), F.col("j2.a"))).select(F.col("j1.a").alias("a"), F.col("j2.b").alias("b")))
             step *= 2
@@ -474,9 +482,25 @@ class Framed:
     errors: DataFrame | None = None
 
 
-def frame_outcomes(quads: DataFrame, shape: Shape, candidates: DataFrame | None, strict: bool, codec: ValueCodec, errors: bool) -> DataFrame:
+def _reads_twice(shape: Shape) -> bool:
+    """Whether the shape's plan has its candidates in it more than once."""
+    if isinstance(shape, Resource | Literal):
+        return False
+    return shape.item.lenient or _reads_twice(shape.item) if isinstance(shape, Set | Optional) else True
+
+
+def _is_flat(shape: Shape) -> bool:
+    """Whether one pass over the quads is all that framing takes."""
+    if not isinstance(shape, Record):
+        return isinstance(shape, Resource | Literal)
+    return all(p.path.kind == "predicate" and isinstance(p.shape, Resource | Literal) and not p.shape.lenient for p in shape.all_properties())
+
+
+def frame_outcomes(quads: DataFrame, shape: Shape, candidates: DataFrame | None, strict: bool, codec: ValueCodec, errors: bool, stage: bool = True) -> DataFrame:
     c = Compiler(quads, codec, errors, captured_ids(shape))
     c.shapes = reachable(shape)
+    if stage and not _is_flat(shape):
+        c.quads = staged(quads, all_predicates(shape))
     if isinstance(shape, Record) and candidates is None:
         if shape.lenient or not strict:
             out = c.records(shape, None, False)
@@ -495,6 +519,7 @@ def frame_outcomes(quads: DataFrame, shape: Shape, candidates: DataFrame | None,
 
 def frame(
     quads: DataFrame, shape: Shape, candidates: DataFrame | None = None, strict: bool | None = None, codec: ValueCodec | None = None, mode: str = "failfast",
+    stage: bool = True,
 ) -> Framed:
     """Every value of ``shape`` in the graph, or in ``candidates`` (a column ``term``) with errors for those that don't fit.
 
@@ -504,7 +529,7 @@ def frame(
     strict = candidates is not None if strict is None else strict
     if is_recursive(shape):
         return Framed(frame_recursive(quads, shape, candidates, strict))
-    out = frame_outcomes(quads, shape, candidates, strict, codec or default_codec(), mode != "drop")
+    out = frame_outcomes(quads, shape, candidates, strict, codec or default_codec(), mode != "drop", stage)
     values = out.where("ok and not fatal").select("root", "ord", "value")
     if mode == "drop":
         return Framed(values)

@@ -6,6 +6,7 @@ Input: (ctx, term), the nodes to start from. Output: (ctx, ord, term), where ord
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(quads: DataFrame, predicates: list[str]) -> DataFrame:
+    """The quads of ``predicates``, written to the shared folder without a shuffle and in the order of predicates, so that a hop reads
+    the row groups and columns of its own predicate, however dear ``quads`` are to make. The files stay until the folder is cleared."""
+    path = f"{shared_folder(quads.sparkSession)}/quads-{uuid.uuid4().hex}"
+    chosen = quads.where(F.col("p").isin(predicates)).select("ord", "s", "p", "o", "g")
+    chosen.sortWithinPartitions("p").write.option("parquet.block.size", 16 << 20).parquet(path)
+    return quads.sparkSession.read.schema(chosen.schema).parquet(path)
+
+
 def _once(df: DataFrame) -> DataFrame:
     return df.groupBy("ctx", "term").agg(F.min("ord").alias("ord")).select("ctx", "ord", "term")
 
