@@ -181,6 +181,9 @@ class Compiler:
         return joined.select("ctx", "ord", "term", *keep)
 
     def _record(self, shape: Record, cands: DataFrame, required: bool) -> DataFrame:
+        if all(self.is_simple(p) for p in (*shape.type_properties, *shape.properties)):
+            # One pivot and nothing else: candidates are joined with it as they are, which saves making them distinct and joining back.
+            return self.records(shape, cands.select("ctx", "ord", "term"), required)
         return self._per_term(cands, self.records(shape, cands.select("term").distinct(), required))
 
     def is_simple(self, p: Property) -> bool:
@@ -188,7 +191,8 @@ class Compiler:
         return one and isinstance(p.shape, Resource | Literal) and not p.shape.lenient and p.path.kind == "predicate"
 
     def records(self, shape: Record, terms: DataFrame | None, required: bool) -> DataFrame:
-        """One row per term (None: per subject): term, ok, value, fatal, err, captures, and ord if ``terms`` is None."""
+        """One row per row of ``terms`` (None: per subject): term, ok, value, fatal, err, captures, and ord if ``terms`` is None, or
+        ctx and ord if ``terms`` has them."""
         strict = required or bool(shape.type_properties)
         props = [(p, required) for p in shape.type_properties] + [(p, strict) for p in shape.properties]
         n_type = len(shape.type_properties)
@@ -202,7 +206,7 @@ class Compiler:
             if terms is None:
                 base = pivot
             else:
-                base = terms.join(pivot.withColumnRenamed("term", "_term"), same_term(F.col("term"), F.col("_term")), "left").drop("_term", "ord")
+                base = terms.join(pivot.drop("ord").withColumnRenamed("term", "_term"), same_term(F.col("term"), F.col("_term")), "left").drop("_term")
                 for i in simple:
                     base = base.withColumn(f"n{i}", F.coalesce(f"n{i}", F.lit(0).cast("long"))).withColumn(f"b{i}", F.coalesce(f"b{i}", F.lit(0).cast("long")))
         else:
@@ -240,7 +244,7 @@ class Compiler:
         own = [F.coalesce(F.when(F.lit(id_ == shape.id), F.col("term")), v).alias(self.cap(id_)) for id_, v in zip(self.captures, caps, strict=True)]
         fatal = F.coalesce(fatal, F.lit(False))
         err = err if self.errors else F.lit(None).cast(ERR)
-        at = ["ord"] if terms is None else []
+        at = [c for c in base.columns if c in ("ctx", "ord")]
         # Values are made for records that fit only, so that synthesis does not fail for others.
         return base.select("term", *at, ok.alias("ok"), F.when(ok, value).alias("value"), fatal.alias("fatal"), err.alias("err"), *own)
 

@@ -268,3 +268,19 @@ def test_terms_and_text(spark, tmp_path):
     assert quads_of(read_sparql_json(spark, str(tmp_path / "r.json"))) == [Quad(named("urn:s"), "urn:p", Term(2, "x", LANG_STRING, "en"))]
     write_json(df.select("p"), str(tmp_path / "j"))
     assert parse_turtle("<urn:a> <urn:b> () .")[0].o == named(RDF_NIL)
+
+
+def test_plans_grow_with_the_depth_of_shapes_and_not_with_a_power_of_it(spark):
+    quads = quads_frame(spark, parse_turtle("<urn:a> <urn:n> 1 ; <urn:to> <urn:b> . <urn:b> <urn:n> 2 ; <urn:to> <urn:c> . <urn:c> <urn:n> 3 ; <urn:to> <urn:d> . <urn:d> <urn:n> 4 ."))
+
+    def scans(depth: int) -> int:
+        b = ShapeBuilder()
+        shape = b.record(n=property_(b.literal(datatype=XSD_INTEGER), "urn:n"))
+        for _ in range(depth):
+            shape = b.record(n=property_(b.literal(datatype=XSD_INTEGER), "urn:n"), to=property_(shape, "urn:to"))
+        values = frame(quads, shape, mode="drop").values
+        assert values.count() == 4 - depth
+        return values._jdf.queryExecution().executedPlan().toString().count("Scan ")
+
+    one, two, three = scans(1), scans(2), scans(3)
+    assert two - one <= 4 and three - two <= 4
