@@ -153,7 +153,11 @@ def write_shards(
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         units = unit_ids(tokenizer, width)
         made = [units.encode(x) + end for x in batch.column(1).to_pylist()]
-        return pa.record_batch([batch.column(0), pa.array(made, pa.binary())], names=["key", "ids"])
+        keys = batch.column(0)
+        # How many cuts are at most the key, looked up in an array: a plan's size does not depend on the number of ranges. Null keys are in range 0.
+        part = np.searchsorted(cuts, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        part[keys.is_null().to_numpy(zero_copy_only=False)] = 0
+        return pa.record_batch([keys, pa.array(made, pa.binary()), pa.array(part, pa.int64())], names=["key", "ids", "part"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, payloads, size, number, part = [], [], 0, 0, 0
@@ -176,9 +180,9 @@ def write_shards(
     rows = docs.select(F.col(id_col).cast("long").alias("key"), whole_text(text_col).alias("text"))
     ids_only = rows.select("key").where("key is not null")
     parts = max(1, -(-ids_only.count() // docs_per_part))
-    cuts = sorted(set(ids_only.approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (8 * parts)))) if parts > 1 else []
-    part = _range_of(F.col("key"), [int(c) for c in cuts])
-    encoded = map_batches(rows, encode, "key long, ids binary").withColumn("part", part.cast("long"))
+    found = ids_only.approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
+    cuts = np.array(sorted({int(c) for c in found}), dtype=np.int64)
+    encoded = map_batches(rows, encode, "key long, ids binary, part long")
     shards = (
         encoded.repartitionById(len(cuts) + 1, F.col("part").cast("int"))
         .sortWithinPartitions(F.col("key").asc_nulls_first(), "ids")
@@ -189,18 +193,6 @@ def write_shards(
     shards.select(F.col("block").cast("string").alias("value")).write.option("lineSep", MARK.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
-def _range_of(key, cuts: list[int]):
-    """How many of the sorted ``cuts`` are at most ``key``, by halving; null keys are in range 0."""
-
-    def below(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < cuts[mid], below(lo, mid)).otherwise(below(mid + 1, hi))
-
-    return F.when(key.isNull(), F.lit(0)).otherwise(below(0, len(cuts)))
-
-
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """part, number, position, key, first (ids of its block before it), n_tokens, ids_crc32 from the files, through the index."""
 
