@@ -424,3 +424,13 @@ def test_a_long_text_pushes_no_other_out_of_the_toxicity_fit(spark):
     assert toxicity.learn(long, labels, toxic_rows=60, ordinary_rows=60, train_chars=6000) is not None
     with pytest.raises(ValueError, match="too long"):
         toxicity.learn(long, labels, train_chars=20)
+
+
+def test_token_store_ranges_are_in_the_order_of_keys(spark, tmp_path):
+    keys = [None, *range(-40, 400, 3), 7, 7, 2**40]
+    rows = [(k, "a b " * (i % 5)) for i, k in enumerate(keys)]
+    path = str(tmp_path / "ranges")
+    token_store.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizer_path("word_bpe_49k.json"), docs_per_part=20)
+    found = token_store.read_shards(spark, path).orderBy("part", "number", "position").collect()
+    assert len({r["part"] for r in found}) > 4
+    assert [r["key"] for r in found] == sorted(keys, key=lambda k: (k is not None, k or 0))
