@@ -114,7 +114,8 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 6, pivot_count: int =
     apart = [F.abs(F.col("a.near") - F.col("b.near")), *(F.abs(byte("a.far", i) - byte("b.far", i)) for i in range(pivot_count - 1))]
     close = reduce(lambda x, y: x & y, (x <= distance for x in apart))
     verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    met = a.join(b, same & (F.col("a.fp") != F.col("b.fp")) & once & close & verified)
+    # The planner takes a side for as small as the file it is exploded from, and would broadcast it: its rows are shuffled at any size.
+    met = a.hint("merge").join(b, same & (F.col("a.fp") != F.col("b.fp")) & once & close & verified)
     return met.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shapeloom.llm import bpe, exact_dedup, language, packing, simhash, token_counts, token_store, toxicity, transport_stream, warc
@@ -434,3 +435,9 @@ def test_token_store_ranges_are_in_the_order_of_keys(spark, tmp_path):
     found = token_store.read_shards(spark, path).orderBy("part", "number", "position").collect()
     assert len({r["part"] for r in found}) > 4
     assert [r["key"] for r in found] == sorted(keys, key=lambda k: (k is not None, k or 0))
+
+
+def test_simhash_entries_are_not_broadcast(spark, tmp_path):
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
