@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import json
 import re
 import tempfile
@@ -188,17 +189,28 @@ _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
+def byte_alphabet() -> list[str]:
+    """The byte-level alphabet: printable characters stand for themselves, the other bytes for U+0100 and on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+_ALPHABET = dict(enumerate(byte_alphabet()))
+
+
 class UnitIds(Remembered):
     """Piece of text -> token ids as little-endian bytes, from the library itself, each piece encoded once per worker.
 
     Every pattern of these tokenizers ends its pieces where white space begins, so a text's ids are its words' ids in order. Texts of
-    letters below U+0250 are cut further, into the pieces of the tokenizer's own pattern, if that is one of the two known.
+    letters below U+0250 are cut further, into the pieces of the tokenizer's own pattern, if that is one of the two known; what is left
+    to do for such a piece is the library's model alone, in the byte-level alphabet.
     """
 
     def __init__(self, path: str, width: int = 4, most: int = 600_000):
         super().__init__(most)
         self.tokenizer, self.width = load_tokenizer(path), width
-        self.dtype = {2: "<u2", 4: "<u4"}[width]
+        self.dtype, self.code = {2: ("<u2", "H"), 4: ("<u4", "I")}[width]
         made = json.loads(self.tokenizer.to_str())
         self.lower = "Lowercase" in json.dumps(made["normalizer"])
         before = json.dumps(made["pre_tokenizer"], ensure_ascii=False)
@@ -208,6 +220,10 @@ class UnitIds(Remembered):
             self.pieces = _WORD_LEVEL
         else:
             self.pieces = None
+        # Added tokens are found before the pattern cuts: where one has no mark to look for, texts are left to the library whole words at a time.
+        if self.pieces and not all("<|" in x["content"] for x in made["added_tokens"]):
+            self.pieces = None
+        self.of_pieces = _PieceIds(self.tokenizer.model.tokenize, self.code, most) if self.pieces else None
 
     def make(self, unit: str) -> bytes:
         import numpy as np
@@ -215,9 +231,22 @@ class UnitIds(Remembered):
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.pieces is None or "<|" in text or _BEYOND.search(text):
+        low = text.lower() if self.lower else text
+        # Some letters below U+0250 have their lower case beyond it.
+        if self.pieces is None or "<|" in text or not text.isascii() and (_BEYOND.search(text) or _BEYOND.search(low)):
             return b"".join(map(self.__getitem__, UNIT.findall(text)))
-        return b"".join(map(self.__getitem__, self.pieces.findall(text.lower() if self.lower else text)))
+        return b"".join(map(self.of_pieces.__getitem__, self.pieces.findall(low)))
+
+
+class _PieceIds(Remembered):
+    """Piece of the tokenizer's pattern -> token ids as bytes in the machine's order, which is little-endian wherever Spark's workers run."""
+
+    def __init__(self, tokenize: Callable, code: str, most: int):
+        super().__init__(most)
+        self.tokenize, self.code = tokenize, code
+
+    def make(self, piece: str) -> bytes:
+        return array.array(self.code, [x.id for x in self.tokenize(piece.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
 
 
 _UNITS: dict[tuple[str, int], UnitIds] = {}

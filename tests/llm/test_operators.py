@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shapeloom.llm import bpe, exact_dedup, language, packing, simhash, token_counts, token_store, toxicity, transport_stream, warc
-from shapeloom.llm.common import UNIT, scratch_path, tokenizer_path, unit_ids
+from shapeloom.llm.common import UNIT, UnitIds, scratch_path, tokenizer_path, unit_ids
 from shapeloom.llm.components import connected_components
 
 BYTE, WORD, PIECE = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -43,6 +43,27 @@ def test_units_give_the_library_s_ids():
             assert "".join(UNIT.findall(s)) == s
 
 
+def test_every_letter_of_known_patterns_gives_the_library_s_ids():
+    for path in (BYTE, WORD):
+        t, u = Tokenizer.from_file(path), unit_ids(path)
+        assert u.pieces and [i for i in range(0x250) for s in (chr(i), f"a{chr(i)}B {chr(i)}") if np.frombuffer(u.encode(s), "<u4").tolist() != t.encode(s, add_special_tokens=False).ids] == []
+
+
+def test_pieces_are_encoded_by_the_model_alone():
+    for path in (BYTE, WORD):
+        u = UnitIds(path)
+        u.make = None  # the whole library, normaliser and pattern included, is for other texts
+        assert np.frombuffer(u.encode("Der Bär's 12 Ħüte!?"), "<u4").tolist() == Tokenizer.from_file(path).encode("Der Bär's 12 Ħüte!?", add_special_tokens=False).ids
+
+
+def test_added_tokens_without_a_mark_are_left_to_the_library(tmp_path):
+    t = Tokenizer.from_file(BYTE)
+    t.add_tokens(["quux"])
+    t.save(str(tmp_path / "t.json"))
+    got = np.frombuffer(unit_ids(str(tmp_path / "t.json")).encode("a quux b"), "<u4").tolist()
+    assert got == t.encode("a quux b", add_special_tokens=False).ids and t.token_to_id("quux") in got
+
+
 def test_numbers_of_any_size_are_packed():
     numbers = np.array([0, 1, 127, 128, 2**14 - 1, 2**14, 2**21 - 1, 2**21, 2**28, 2**32 - 1])
     assert bpe._long(bpe._short(numbers)).tolist() == numbers.tolist() and bpe._short(numbers[:0]) == b""
