@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UNIT, bounded_batches, load_tokenizer, table, tokenizer_path, whole_text
+from .common import UNIT, bounded_batches, byte_alphabet, load_tokenizer, table, tokenizer_path, unit_ids, whole_text
 
 #: A chunk is closed when its texts have so many characters or so many distinct words.
 CHUNK_CHARS = 24 << 20
 CHUNK_WORDS = 300_000
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, int], list, list[np.ndarray], list[int]]]:
-    """(chunk, word -> number, ids, positions, CRCs), chunk by chunk."""
+def _chunks(batches: Iterator[pa.RecordBatch], places_too: bool) -> Iterator[tuple[int, dict[str, int], list, list[np.ndarray], list[int]]]:
+    """(chunk, word -> number, ids, positions, CRCs), chunk by chunk. Positions and CRCs are made only where they are wanted."""
     from pyspark import TaskContext
 
     task, k = TaskContext.get().partitionId(), 0
@@ -41,12 +41,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str,
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = UNIT.findall(text)
-            for w in found:
-                if w not in words:
-                    words[w] = len(words)
             keys.append(key)
-            places.append(np.fromiter(map(words.__getitem__, found), dtype="<u4", count=len(found)))
-            crcs.append(zlib.crc32(text.encode()))
+            if places_too:
+                number = words.setdefault
+                places.append(np.array([number(w, len(words)) for w in found], dtype="<u4"))
+                crcs.append(zlib.crc32(text.encode()))
+            else:
+                for w in found:
+                    if w not in words:
+                        words[w] = len(words)
             size += len(text)
             if size > CHUNK_CHARS or len(words) > CHUNK_WORDS:
                 yield (task << 24) + k, words, keys, places, crcs
@@ -98,7 +101,7 @@ def distinct_words(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, words): the distinct words of every chunk with their numbers, together by a hash of the word."""
 
     def run(batches):
-        for chunk, words, *_ in _chunks(batches):
+        for chunk, words, *_ in _chunks(batches, False):
             if not words:
                 continue
             raw = [w.encode() for w in words]
@@ -123,7 +126,7 @@ def positions(docs: DataFrame) -> DataFrame:
     """(chunk, ids, crcs, places): up to 500 documents a row, each as the numbers of its words."""
 
     def run(batches):
-        for chunk, _, keys, places, crcs in _chunks(batches):
+        for chunk, _, keys, places, crcs in _chunks(batches, True):
             for at in range(0, len(keys), 500):
                 part = slice(at, at + 500)
                 blob = _packed(np.arange(len(keys[part])), [_short(x) for x in places[part]])
@@ -135,11 +138,17 @@ def positions(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, ids array<long>, crcs array<long>, places binary")
 
 
-def encode_words(words: DataFrame, tokenizer: str, parts: int) -> DataFrame:
-    """(chunk, ids): each distinct word is encoded once, where its bucket's rows have met; one bucket's words are held at a time."""
+def id_bytes(tokenizer: str) -> int:
+    """Bytes an id takes between stages: two if no id of the vocabulary needs more."""
+    return 2 if max(load_tokenizer(tokenizer).get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
+
+
+def encode_words(words: DataFrame, tokenizer: str, parts: int, width: int = 4) -> DataFrame:
+    """(chunk, ids): each distinct word is encoded once, where its bucket's rows have met; one bucket's words are held at a time. Ids are
+    little-endian and of ``width`` bytes."""
 
     def run(batches):
-        t = load_tokenizer(tokenizer)
+        units = unit_ids(tokenizer, width)
         bucket, known = None, {}
         for batch in batches:
             made = []
@@ -147,10 +156,9 @@ def encode_words(words: DataFrame, tokenizer: str, parts: int) -> DataFrame:
                 if b != bucket:
                     bucket, known = b, {}
                 numbers, found = _unpacked(data)
-                new = [w for w in found if w not in known]
-                for w, e in zip(new, t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    small = max(e.ids, default=0) < 65536
-                    known[w] = (b"\0" if small else b"\1") + np.array(e.ids, "<u2" if small else "<u4").tobytes()
+                for w in found:
+                    if w not in known:
+                        known[w] = units.encode(w.decode())
                 made.append(_packed(numbers, [known[w] for w in found]))
             yield pa.record_batch([batch.column(1), pa.array(made, pa.binary())], names=["chunk", "ids"])
 
@@ -162,9 +170,7 @@ def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:
     """(id, piece): the bytes of every id of a byte-level vocabulary, special tokens included."""
     with open(tokenizer, encoding="utf-8") as f:
         model = json.load(f)
-    # The byte-level alphabet: printable characters stand for themselves, the other bytes for U+0100 and on.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    alphabet = {c: b for b, c in enumerate(byte_alphabet())}
     rows = {i: piece for piece, i in model["model"]["vocab"].items()} | {t["id"]: t["content"] for t in model["added_tokens"]}
     made = [(i, bytearray(bytes(alphabet[c] for c in p) if all(c in alphabet for c in p) else p.encode())) for i, p in rows.items()]
     return spark.createDataFrame(made, "id int, piece binary")
@@ -195,6 +201,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     # As many rows as the vocabulary has ids: a bound that the data do not move.
     pieces = spark.sparkContext.broadcast(id_to_piece(spark, tokenizer).collect())
+    width = id_bytes(tokenizer)
     fields = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
 
     def lay_out(docs_: pa.Table, words: pa.Table) -> pa.Table:
@@ -202,13 +209,13 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
         ids_of = [b""] * sum(len(spelt) for _, spelt in rows)
         for numbers, spelt in rows:
             for n, x in zip(numbers.tolist(), spelt, strict=True):
-                ids_of[n] = np.frombuffer(x, "<u4" if x[0] else "<u2", offset=1).astype("<u4").tobytes()
+                ids_of[n] = x
         table_ = Pieces(pieces.value)
         out = {f: [] for f in fields}
         each = (x for row in docs_.to_batches(1) for x in zip(row.column("ids")[0].as_py(), _unpacked(row.column("places")[0].as_py())[1], row.column("crcs")[0].as_py(), strict=True))
         for k, places, crc in each:
-            ids = b"".join([ids_of[i] for i in _long(places).tolist()])
-            text = table_.join(np.frombuffer(ids, "<u4")).decode("utf-8", "replace").encode()
+            found = np.frombuffer(b"".join([ids_of[i] for i in _long(places).tolist()]), f"<u{width}")
+            ids, text = found.astype("<u4").tobytes(), table_.join(found).decode("utf-8", "replace").encode()
             if zlib.crc32(text) != crc:
                 raise ValueError("a decoded text differs from its document: the input changed between two passes")
             row = (k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest(), ids, text.decode() if keep else None)
@@ -221,7 +228,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     # A bucket's distinct words are held by one worker: buckets grow with the table.
     buckets = max(256, docs.count() // 5000)
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    encoded = encode_words(distinct_words(rows, buckets), tokenizer, parts)
+    encoded = encode_words(distinct_words(rows, buckets), tokenizer, parts, width)
     laid = positions(rows).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(lay_out, schema)
     return laid.withColumnRenamed("id", id_col)
 

@@ -80,6 +80,22 @@ def test_bpe_round_trip(docs):
     assert bpe.encode_and_decode(docs.limit(0), BYTE).count() == 0
 
 
+def test_bpe_ids_travel_as_narrow_as_the_vocabulary_allows(spark, docs, tmp_path):
+    assert bpe.id_bytes(BYTE) == 2
+    words = bpe.distinct_words(docs.select(F.lit(1).cast("long"), F.coalesce("text", F.lit("")).alias("text")).coalesce(1), 1)
+    t, spelt = Tokenizer.from_file(BYTE), []
+    for width in (2, 4):
+        (row,) = bpe.encode_words(words, BYTE, 1, width).collect()
+        spelt.append([np.frombuffer(x, f"<u{width}").tolist() for x in bpe._unpacked(row["ids"])[1]])
+    assert spelt[0] == spelt[1] == [t.encode(w.decode(), add_special_tokens=False).ids for w in bpe._unpacked(words.first()["words"])[1]]
+    t.add_tokens([f"<|{i}|>" for i in range(16_000)])
+    t.save(path := str(tmp_path / "wide.json"))
+    assert bpe.id_bytes(path) == 4
+    got = bpe.encode_and_decode(spark.createDataFrame([(1, "a <|15999|> b")], "doc_id long, text string"), path).first()
+    expected = t.encode("a <|15999|> b", add_special_tokens=False).ids
+    assert max(expected) >= 1 << 16 and np.frombuffer(got["ids"], "<u4").tolist() == expected and got["decoded"] == "a <|15999|> b"
+
+
 def test_token_counts_and_cache(spark, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     expected = sorted(((k, len(x.encode()), len(sp.encode(x))) for k, x in texts()), key=repr)
