@@ -62,10 +62,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows that the Parquet reader makes at once, and bytes of a row group that a Parquet writer fills before it writes it.
+READER_ROWS, GROUP_BYTES = 1000, 16 << 20
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep the Arrow batches sent to Python small, since texts can be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Keep what a task holds of texts small, since they can be very long: the Arrow batches sent to Python, the Parquet reader's
+    batches, and the row groups of Parquet writers, which by Spark's defaults take 1 GB on 8 cores. Smaller settings stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if int(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+    if int(spark.conf.get("parquet.block.size", str(128 << 20))) > GROUP_BYTES:
+        spark.conf.set("parquet.block.size", str(GROUP_BYTES))
 
 
 def unused_name(df: DataFrame, name: str) -> str:

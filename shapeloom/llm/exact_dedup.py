@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, hot_keys, join_hot, materialise, passing, scratch_path, table, unused_name, whole_text
+from .common import bounded_batches, delete_path, hot_keys, join_hot, materialise, passing, scratch_path, table, unused_name, whole_text
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -31,6 +31,7 @@ def normalised(text: Column) -> Column:
 
 def memtable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, body, digest) for every row: its id, its normalised text and the SHA-256 of that."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(whole_text(text_col)).alias("body"))
     return rows.withColumn("digest", F.unhex(F.sha2("body", 256)))
 

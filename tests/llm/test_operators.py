@@ -478,3 +478,17 @@ def test_simhash_entries_are_not_broadcast(spark, tmp_path):
     spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
     plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tasks_hold_little_of_what_they_read_and_write(spark):
+    """With Spark's defaults, 0.6 GB of texts in 8 tasks did not fit into its default heap."""
+    import pyarrow.parquet as pq
+
+    fresh = spark.newSession()
+    rows = fresh.range(12_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 40), i -> sha2(concat(id, '-', i), 256)), ' ')").alias("text"))
+    kept = exact_dedup.drop_exact_duplicates(rows).coalesce(1)
+    path = scratch_path(fresh, "held")
+    kept.write.parquet(path)
+    assert int(fresh.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000
+    held = pq.ParquetDataset(path.removeprefix("file:")).fragments[0].metadata
+    assert held.num_rows == 12_000 and max(held.row_group(i).total_byte_size for i in range(held.num_row_groups)) < 20 << 20
